@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undertone.llm.components import hash_to_min
 from undertone.llm.fusion import discover_truth
+from undertone.llm.leaks import find_leaks
+from undertone.llm.quantiles import merge, percentiles, summarise
+from undertone.llm.spans import shared_spans
 from undertone.tables import table
 
 FIELDS = ["isrc", "album_release_date", "popularity", "album_image_url", "duration_ms"]
@@ -43,11 +46,85 @@ def p1_voted(spark: SparkSession, root: str) -> DataFrame:
     return truths.select("cluster_key", "field_name", "value", F.round("support", 6).alias("support"), "n_values")
 
 
+PERCEPTUAL = ["tempo", "key", "mode", "duration_sec", "loudness_db", "time_signature", "energy", "danceability", "acousticness", "speechiness", "brightness", "punch", "dynamics", "valence_proxy"]
+SHARES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
+
+
+def _perceptual(spark: SparkSession, root: str) -> DataFrame:
+    """The 14 numbers as doubles; a quoted number is a number, anything else is null."""
+    schema = ", ".join(f"{c} string" for c in PERCEPTUAL)
+    rows = table(spark, root, "track_perceptual").select("version", "computed_at", F.from_json("features", schema).alias("f"))
+    return rows.select("version", "computed_at", *[F.expr(f"try_cast(trim(f.{c}) as double)").alias(c) for c in PERCEPTUAL])
+
+
+def p4_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles of each perceptual number by version; rank error at most 0.5 % of n."""
+    rows = _perceptual(spark, root)
+    digests = merge(summarise(rows, "version", PERCEPTUAL), parts=rows.rdd.getNumPartitions())
+    out = percentiles(digests, SHARES)
+    return out.select(F.col("key").alias("version"), F.col("field").alias("feature"), "n", "share", "value", F.ceil(F.col("n") * 0.005).alias("rank_error"))
+
+
+def p4_daily(spark: SparkSession, root: str) -> DataFrame:
+    """The same from digests of single days (rank error 1 %), combined by node addition."""
+    rows = _perceptual(spark, root).withColumn("day", F.concat_ws("|", F.date_format("computed_at", "yyyy-MM-dd"), F.coalesce("version", F.lit("\0"))))
+    days = merge(summarise(rows, "day", PERCEPTUAL, 0.01), 0.01, rows.rdd.getNumPartitions())
+    version = F.element_at(F.split("key", r"\|", 2), -1)
+    spread = F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(1024)).cast("int")
+    whole = merge(days.withColumn("part", spread).withColumn("key", F.when(version != "\\0", version)), 0.01, 1024)
+    out = percentiles(whole, SHARES)
+    return out.select(F.col("key").alias("version"), F.col("field").alias("feature"), "n", "share", "value", F.ceil(F.col("n") * 0.01).alias("rank_error"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Group of every record linked by accepted matches; the smallest id names the group."""
     links = table(spark, root, "match_pairs").where("accepted and track_id_a <> track_id_b").select("track_id_a", "track_id_b")
     return hash_to_min(links, "track_id_a", "track_id_b").select(F.col("vertex").alias("track_id"), F.col("component").alias("group_id"))
 
 
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return find_leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with at least 8 consecutive words of an evaluation item."""
+    return _leaks(spark, root).where("longest_run >= 8").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p8_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Leaks with their alignment, paraphrased and edited copies included (half the best score or more)."""
+    found = _leaks(spark, root).where("longest_run >= 8 or share >= 0.5")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "score", F.round("share", 4).alias("share"), "first_word", "last_word", "longest_run", "item_words")
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """All pairs of documents that share at least 300 verbatim characters."""
+    links, copies = shared_spans(table(spark, root, "documents"), "doc_id", "text")
+    member = copies.select(F.col("id").alias("doc"), "rep")
+    texts = links.select("a", "b").unionByName(copies.where("id = rep and n > 1").select(F.col("id").alias("a"), F.col("id").alias("b")))
+    both = texts.join(member.select(F.col("doc").alias("x"), F.col("rep").alias("a")), "a").join(member.select(F.col("doc").alias("y"), F.col("rep").alias("b")), "b")
+    return both.where("x <> y and (a <> b or x < y)").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"))
+
+
+def p10_shared(spark: SparkSession, root: str) -> DataFrame:
+    """Per document: partners with another text, exact copies, and characters shared elsewhere."""
+    docs = table(spark, root, "documents")
+    links, copies = shared_spans(docs, "doc_id", "text")
+    sides = links.select("a", "starts_a", "ends_a").toDF("rep", "starts", "ends").unionByName(links.select("b", "starts_b", "ends_b").toDF("rep", "starts", "ends"))
+    spans = sides.select("rep", F.explode(F.arrays_zip("starts", "ends")).alias("s")).select("rep", F.col("s.starts").alias("start"), F.col("s.ends").alias("end")).distinct()
+    reach = Window.partitionBy("rep").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = spans.withColumn("seen", F.coalesce(F.max("end").over(reach), F.lit(0)))
+    covered = fresh.groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "seen"))).alias("covered"))
+    partners = sides.groupBy("rep").agg(F.count("*").alias("n_partners"))
+    sizes = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n_chars")).distinct()
+    return (
+        copies.join(partners, "rep", "left").join(covered, "rep", "left").where("n > 1 or n_partners is not null").join(sizes, "id")
+        .select(
+            F.col("id").alias("doc_id"), F.col("rep").alias("text_class"), (F.col("n") - 1).alias("n_copies"), F.coalesce("n_partners", F.lit(0)).alias("n_partners"),
+            F.when(F.col("n") > 1, F.col("n_chars")).otherwise(F.col("covered")).alias("shared_chars"), "n_chars",
+        )
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
