@@ -67,11 +67,12 @@ def p4_percentiles(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_daily(spark: SparkSession, root: str) -> DataFrame:
     """The same from digests of single days (rank error 1 %), combined by node addition."""
-    rows = _perceptual(spark, root).withColumn("day", F.concat_ws("|", F.date_format("computed_at", "yyyy-MM-dd"), F.coalesce("version", F.lit("\0"))))
+    tag = F.when(F.col("version").isNull(), "0").otherwise(F.concat(F.lit("1"), "version"))
+    rows = _perceptual(spark, root).withColumn("day", F.concat(F.coalesce(F.date_format("computed_at", "yyyy-MM-dd"), F.lit("?")), F.lit("|"), tag))
     days = merge(summarise(rows, "day", PERCEPTUAL, 0.01), 0.01, rows.rdd.getNumPartitions())
-    version = F.element_at(F.split("key", r"\|", 2), -1)
     spread = F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(1024)).cast("int")
-    whole = merge(days.withColumn("part", spread).withColumn("key", F.when(version != "\\0", version)), 0.01, 1024)
+    tag = F.element_at(F.split("key", r"\|", 2), -1)
+    whole = merge(days.withColumn("part", spread).withColumn("key", F.when(tag != "0", F.substring(tag, 2, 1 << 30))), 0.01, 1024)
     out = percentiles(whole, SHARES)
     return out.select(F.col("key").alias("version"), F.col("field").alias("feature"), "n", "share", "value", F.ceil(F.col("n") * 0.01).alias("rank_error"))
 
