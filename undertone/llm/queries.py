@@ -11,6 +11,7 @@ from undertone.llm.components import hash_to_min
 from undertone.llm.fusion import discover_truth
 from undertone.llm.leaks import find_leaks
 from undertone.llm.quantiles import merge, percentiles, summarise
+from undertone.llm.recordings import same_recordings
 from undertone.llm.spans import shared_spans
 from undertone.tables import table
 
@@ -46,6 +47,16 @@ def p1_voted(spark: SparkSession, root: str) -> DataFrame:
     return truths.select("cluster_key", "field_name", "value", F.round("support", 6).alias("support"), "n_values")
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """All pairs of track ids that are the same recording."""
+    pairs, members = same_recordings(table(spark, root, "track_meta"), "spotify_track_id", "track_name", "artist_names", "duration_ms")
+    crowded = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    x = members.select(F.col("id").alias("x"), F.col("rep").alias("a"))
+    y = members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
+    both = pairs.unionByName(crowded).join(x, "a").join(y, "b").where("a <> b or x < y")
+    return both.select(F.least("x", "y").alias("track_id_a"), F.greatest("x", "y").alias("track_id_b"))
+
+
 PERCEPTUAL = ["tempo", "key", "mode", "duration_sec", "loudness_db", "time_signature", "energy", "danceability", "acousticness", "speechiness", "brightness", "punch", "dynamics", "valence_proxy"]
 SHARES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
