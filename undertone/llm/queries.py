@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from undertone.llm.components import hash_to_min
 from undertone.llm.fusion import discover_truth
 from undertone.llm.leaks import find_leaks
+from undertone.llm.mixing import mix_sources
 from undertone.llm.quantiles import merge, percentiles, summarise
 from undertone.llm.recordings import same_recordings
 from undertone.llm.spans import shared_spans
@@ -109,6 +110,28 @@ def p8_scores(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "score", F.round("share", 4).alias("share"), "first_word", "last_word", "longest_run", "item_words")
 
 
+def _mix(spark: SparkSession, root: str) -> tuple[DataFrame, list]:
+    targets = [tuple(r) for r in table(spark, root, "mix_targets").select("source", "target_share", "max_repeats").collect()]
+    return mix_sources(table(spark, root, "documents"), "doc_id", "source", "text", targets, block=128, shard_blocks=128), targets
+
+
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    """The mixed blocks, one row per use of a stretch of a document."""
+    return _mix(spark, root)[0].withColumnRenamed("doc", "doc_id")
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Shares really reached, with the repeats of the most used stretch."""
+    rows, targets = _mix(spark, root)
+    wanted = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
+    got = rows.groupBy("source").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("tokens"), F.count_distinct("shard", "slot").alias("blocks"), (F.max("pass") + 1).alias("repeats"))
+    whole = got.agg(F.sum("tokens").alias("all_tokens"))
+    return (
+        wanted.join(got, "source", "left").join(F.broadcast(whole), F.lit(True), "left")
+        .select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("repeats", F.lit(0)).alias("repeats"), F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 5).alias("share"))
+    )
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     """All pairs of documents that share at least 300 verbatim characters."""
     links, copies = shared_spans(table(spark, root, "documents"), "doc_id", "text")
