@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from undertone.durable import Scratch
+from undertone.llm.clusters import group_similar
 from undertone.llm.components import hash_to_min
 from undertone.llm.fusion import discover_truth
 from undertone.llm.leaks import find_leaks
 from undertone.llm.mixing import mix_sources
+from undertone.llm.neighbours import nearest_vectors
 from undertone.llm.quantiles import merge, percentiles, summarise
 from undertone.llm.recordings import same_recordings
 from undertone.llm.spans import shared_spans
@@ -58,6 +61,61 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return both.select(F.least("x", "y").alias("track_id_a"), F.greatest("x", "y").alias("track_id_b"))
 
 
+ACOUSTIC = ["tempo_bpm", "rms_mean", "zcr_mean", "spectral_centroid_mean", "spectral_rolloff_mean", "spectral_bandwidth_mean", "harmonic_ratio", "onset_strength_mean", *[f"mfcc_mean_{i}" for i in range(5)]]
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
+def _number(col: Column) -> Column:
+    """A JSON value that is a number, quoted or not, as a double; anything else is null."""
+    text = F.trim(col)
+    value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.when(F.abs(value) <= 1.7976931348623157e308, value)
+
+
+def _acoustic(spark: SparkSession, root: str) -> DataFrame:
+    """Tracks whose latest features row is complete, with the 13 values scaled to mean 0 and population spread 1."""
+    schema = ", ".join(f"{c} string" for c in ACOUSTIC)
+    rows = table(spark, root, "track_features").where(F.col("spotify_track_id").isNotNull())
+    latest = rows.groupBy(F.col("spotify_track_id").alias("id")).agg(F.max_by("features", F.struct("extracted_at", "features")).alias("features"))
+    parsed = latest.select("id", F.from_json("features", schema).alias("f")).select("id", *[_number(F.col(f"f.{c}")).alias(c) for c in ACOUSTIC])
+    whole = Scratch(spark, "acoustic").save(parsed.dropna().where("tempo_bpm > 0"))
+    spread = whole.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(ACOUSTIC)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(ACOUSTIC)]).first()
+    scaled = [(F.col(c) - F.lit(spread[f"m{i}"])) / F.lit(spread[f"s{i}"] or 1.0) for i, c in enumerate(ACOUSTIC)]
+    return whole.select("id", F.array(*scaled).alias("v"))
+
+
+def _groups(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Members of the groups that sound alike, and the cluster that each group is under the newest model."""
+    labels = table(spark, root, "track_clusters").where("cluster_id is not null and model_id is not null and spotify_track_id is not null")
+    newest = labels.agg(F.max("model_id")).first()[0]
+    labels = labels.where(F.col("model_id") == F.lit(newest)).select(F.col("spotify_track_id").alias("id"), F.col("cluster_id").cast("long").alias("cluster_id")).distinct()
+    members, _ = group_similar(_acoustic(spark, root), "id", "v", labels.select("cluster_id").distinct().count())
+    votes = members.join(labels, "id").groupBy("group", "cluster_id").agg(F.count("*").alias("n"))
+    names = votes.groupBy("group").agg(F.min(F.struct((-F.col("n")).alias("lack"), "cluster_id"))["cluster_id"].alias("cluster_id"))
+    return members, names
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    """Group of every complete track, under the cluster most of its tracks have in the newest model."""
+    members, names = _groups(spark, root)
+    return members.join(names, "group").select(F.col("id").alias("spotify_track_id"), "cluster_id")
+
+
+def p3_typical(spark: SparkSession, root: str) -> DataFrame:
+    """Size of every group and its ten tracks nearest to the group's mean."""
+    members, names = _groups(spark, root)
+    sizes = members.groupBy("group").agg(F.count("*").alias("size"))
+    rank = Window.partitionBy("group").orderBy("distance", "id")
+    top = members.withColumn("typical_rank", F.row_number().over(rank)).where("typical_rank <= 10")
+    return top.join(sizes, "group").join(names, "group").select("cluster_id", "size", "typical_rank", F.col("id").alias("spotify_track_id"), F.round("distance", 4).alias("distance"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """The five tracks that sound most like each complete track."""
+    near = nearest_vectors(_acoustic(spark, root), "id", "v", 5)
+    return near.select(F.col("id").alias("spotify_track_id"), F.col("neighbour").alias("neighbour_id"))
+
+
 PERCEPTUAL = ["tempo", "key", "mode", "duration_sec", "loudness_db", "time_signature", "energy", "danceability", "acousticness", "speechiness", "brightness", "punch", "dynamics", "valence_proxy"]
 SHARES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
@@ -66,7 +124,7 @@ def _perceptual(spark: SparkSession, root: str) -> DataFrame:
     """The 14 numbers as doubles; a quoted number is a number, anything else is null."""
     schema = ", ".join(f"{c} string" for c in PERCEPTUAL)
     rows = table(spark, root, "track_perceptual").select("version", "computed_at", F.from_json("features", schema).alias("f"))
-    return rows.select("version", "computed_at", *[F.expr(f"try_cast(trim(f.{c}) as double)").alias(c) for c in PERCEPTUAL])
+    return rows.select("version", "computed_at", *[_number(F.col(f"f.{c}")).alias(c) for c in PERCEPTUAL])
 
 
 def p4_percentiles(spark: SparkSession, root: str) -> DataFrame:
