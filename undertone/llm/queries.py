@@ -127,16 +127,8 @@ def _perceptual(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("version", "computed_at", *[_number(F.col(f"f.{c}")).alias(c) for c in PERCEPTUAL])
 
 
-def p4_percentiles(spark: SparkSession, root: str) -> DataFrame:
-    """Percentiles of each perceptual number by version; rank error at most 0.5 % of n."""
-    rows = _perceptual(spark, root)
-    digests = merge(summarise(rows, "version", PERCEPTUAL), parts=rows.rdd.getNumPartitions())
-    out = percentiles(digests, SHARES)
-    return out.select(F.col("key").alias("version"), F.col("field").alias("feature"), "n", "share", "value", F.ceil(F.col("n") * 0.005).alias("rank_error"))
-
-
 def p4_daily(spark: SparkSession, root: str) -> DataFrame:
-    """The same from digests of single days (rank error 1 %), combined by node addition."""
+    """Percentiles by version and number from digests of single days (rank error 1 %), combined by node addition."""
     tag = F.when(F.col("version").isNull(), "0").otherwise(F.concat(F.lit("1"), "version"))
     rows = _perceptual(spark, root).withColumn("day", F.concat(F.coalesce(F.date_format("computed_at", "yyyy-MM-dd"), F.lit("?")), F.lit("|"), tag))
     days = merge(summarise(rows, "day", PERCEPTUAL, 0.01), 0.01, rows.rdd.getNumPartitions())
@@ -147,6 +139,14 @@ def p4_daily(spark: SparkSession, root: str) -> DataFrame:
     return out.select(F.col("key").alias("version"), F.col("field").alias("feature"), "n", "share", "value", F.ceil(F.col("n") * 0.01).alias("rank_error"))
 
 
+def p4_percentiles(spark: SparkSession, root: str) -> DataFrame:
+    """The same from one pass over all days; rank error at most 0.5 % of n."""
+    rows = _perceptual(spark, root)
+    digests = merge(summarise(rows, "version", PERCEPTUAL), parts=rows.rdd.getNumPartitions())
+    out = percentiles(digests, SHARES)
+    return out.select(F.col("key").alias("version"), F.col("field").alias("feature"), "n", "share", "value", F.ceil(F.col("n") * 0.005).alias("rank_error"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Group of every record linked by accepted matches; the smallest id names the group."""
     links = table(spark, root, "match_pairs").where("accepted and track_id_a <> track_id_b").select("track_id_a", "track_id_b")
