@@ -5,24 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from undertone.operators.packed import split_packed
-from undertone.tables import table
-
-
-def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    """Values of ``artist_names`` and ``genres`` fields that hold two or more."""
-    artists = table(spark, root, "artist_meta")
-    names = split_packed(table(spark, root, "track_meta"), "spotify_track_id", "artist_names", artists.select("artist_name"), "artist_name")
-    genres = split_packed(artists, "artist_id", "genres", table(spark, root, "genre_terms"), "genre")
-    parts = names.withColumn("source_table", F.lit("track_meta")).unionByName(genres.withColumn("source_table", F.lit("artist_meta")))
-    return parts.where("n_items >= 2").select("source_table", "record_id", "pos", "item")
+from undertone.plans import aggregates, drift, entities, joins, packed, ranked, scalars, scans  # noqa: F401
+from undertone.plans.registry import QUERIES, SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
