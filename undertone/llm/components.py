@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from undertone.durable import Scratch
-from undertone.skew import hot_keys, split_join
+from undertone.skew import HOT_ROWS, hot_keys, split_join
 
 
 def hash_to_min(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -29,7 +29,7 @@ def hash_to_min(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataF
     for _ in range(max_rounds):
         seen = Observation()
         low = scratch.save(rows.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n")).observe(seen, F.max("n").alias("top")))
-        hot = hot_keys(low, "v", "n", state[0]) if (seen.get["top"] or 0) > 50_000 else []
+        hot = hot_keys(low, "v", "n", state[0]) if (seen.get["top"] or 0) > HOT_ROWS else []
         sent = split_join(rows, low.select("v", "m"), "v", hot)
         spread = F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))
         fresh, now = _saved(scratch, sent.select(F.inline(spread)).distinct())
