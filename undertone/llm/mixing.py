@@ -171,4 +171,4 @@ def mix_sources(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slot.astype(np.int64)), batch.column(1), pa.array(chosen), pa.array(turn)], names=["shard", "slot", "source", "block", "pass"])
 
     filled = slots.mapInArrow(pick, "shard long, slot long, source string, block long, pass long")
-    return filled.join(pieces, ["source", "block"]).select("shard", "slot", "source", "block", "pass", "doc", "from_token", "to_token")
+    return filled.join(pieces.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "block", "pass", "doc", "from_token", "to_token")
