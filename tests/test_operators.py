@@ -8,7 +8,7 @@ from undertone.functions.text import squeeze
 from undertone.functions.vectors import cosine, euclid
 from undertone.operators.aggregates import banded, centroids, histogram_bin, sigma_shift, unpivot
 from undertone.operators.entities import artists_agree, canonical_member, components, durations_agree, title_key
-from undertone.operators.ranking import average_rank_share, keep_latest, top_per_group
+from undertone.operators.ranking import average_rank_shares, keep_latest, top_per_group
 from undertone.skew import split_join
 from undertone.sources.cleansing import fill
 
@@ -18,17 +18,17 @@ def _col(spark, expr, **values):
     return df.select(expr).first()[0]
 
 
-def test_average_rank_share(spark):
-    df = spark.createDataFrame([(3.0,), (1.0,), (3.0,), (2.0,), (None,)], "v double")
-    got = sorted((r["v"], r["p"]) for r in average_rank_share(df, "v", "p").collect() if r["v"] is not None)
-    assert got == [(1.0, 0.25), (2.0, 0.5), (3.0, 0.875), (3.0, 0.875)]
+def test_average_rank_shares(spark):
+    df = spark.createDataFrame([("a", 3.0, 1.0), ("b", 1.0, 1.0), ("c", 3.0, None), ("d", 2.0, None), ("e", None, None)], "id string, v double, w double")
+    got = {r["id"]: (r["v"], r["w"]) for r in average_rank_shares(df, "id", ["v", "w"]).collect()}
+    assert got == {"a": (0.875, 0.75), "b": (0.25, 0.75), "c": (0.875, None), "d": (0.5, None), "e": (None, None)}
 
 
-def test_rank_share_over_many_partitions(spark):
-    df = spark.range(2000).select((F.col("id") % 700).cast("double").alias("v")).repartition(9)
-    rows = {r["v"]: r["p"] for r in average_rank_share(df, "v", "p").collect()}
-    order = [rows[float(v)] for v in range(700)]
-    assert order == sorted(order) and math.isclose(order[-1], 1 - 0.5 / 2000 * 1) and math.isclose(rows[0.0], (3 + 1) / 2 / 2000)
+def test_rank_shares_over_many_partitions(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 700).cast("double").alias("v")).repartition(9)
+    got = {r["id"]: r["v"] for r in average_rank_shares(df, "id", ["v"]).collect()}
+    order = [got[i] for i in range(700)]
+    assert order == sorted(order) and math.isclose(got[0], (3 + 1) / 2 / 2000) and math.isclose(got[699], 1 - 0.5 / 2000)
 
 
 def test_nan_counts_as_null(spark):

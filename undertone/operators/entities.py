@@ -7,7 +7,7 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -94,10 +94,11 @@ def numbering(col: Column) -> Column:
 
 
 def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """``(vertex, component)`` by smallest-label propagation with pointer jumping.
+    """``(vertex, component)``, the component named by its smallest vertex.
 
-    Each round takes the smallest label around a vertex and then the label of that
-    label, so paths shrink by half; rows stay one per vertex plus the edges.
+    Each round takes the smallest label around a vertex, hands it to the vertex's
+    old label as well, and follows it one step further, so the rounds grow with
+    the logarithm of a path; rows stay one per vertex plus the edges.
     """
     spark = pairs.sparkSession
     scratch = Scratch(spark, "labels")
@@ -107,12 +108,16 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     for _ in range(max_rounds):
         around = edges.join(labels.select(F.col("v").alias("y"), "c"), "y").groupBy(F.col("x").alias("v")).agg(F.min("c").alias("n"))
         near = labels.join(around, "v", "left").select("v", "c", F.least("c", F.coalesce("n", "c")).alias("n"))
+        hooked = near.select(F.inline(F.array(F.struct("v", "n", F.col("c").cast("string").alias("c")), F.struct(F.col("c").alias("v"), "n", F.lit(None).cast("string").alias("c")))))
+        near = hooked.groupBy("v").agg(F.min("n").alias("n"), F.max("c").alias("c")).where("c is not null")
         jump = labels.select(F.col("v").alias("n"), F.col("c").alias("j"))
-        fresh = scratch.save(near.join(jump, "n", "left").select("v", F.least("n", F.coalesce("j", "n")).alias("c"), (F.least("n", F.coalesce("j", "n")) != F.col("c")).alias("moved")))
-        moved = not fresh.where("moved").isEmpty()
+        seen = Observation()
+        least = F.least("n", F.coalesce("j", "n"))
+        fresh = near.join(jump, "n", "left").select("v", least.alias("c"), (least != F.col("c")).alias("moved"))
+        fresh = scratch.save(fresh.observe(seen, F.count_if("moved").alias("n")))
         scratch.drop(labels)
         labels = fresh
-        if not moved:
+        if not seen.get["n"]:
             break
     return labels.select(F.col("v").alias("vertex"), F.col("c").alias("component"))
 

@@ -14,34 +14,37 @@ def keep_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def average_rank_share(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Percentile rank in (0, 1] with ties at their average rank, null for null.
+def average_rank_shares(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Percentile ranks in (0, 1] of several columns, ties at their average rank.
 
-    Works from the counts of distinct values: the ranks come from a running sum
-    over the values, not over the rows, which a global window would sort in one
-    task. The running sum itself is split by range partitions of the values.
+    ``(key, *columns)``, null where the value is null; ``key`` must be unique. All
+    columns are ranked in one pass over the counts of their distinct values. The
+    running sums go by range partitions of the values, so no task sorts a column.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    below = running_total(counts, value, "_n")
-    share = below.select(F.col(value).alias("_v"), ((F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_all")).alias(out))
-    return df.join(share, F.col(value) == F.col("_v"), "left").drop("_v")
+    pairs = F.array(*[F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_v")) for c in columns])
+    long = df.select(F.col(key), F.inline(pairs)).where("_v is not null")
+    share = running_total(long.groupBy("_c", "_v").agg(F.count("*").alias("_n")), ["_c"], "_v", "_n")
+    share = share.select("_c", "_v", ((F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_all")).alias("_share"))
+    wide = long.join(share, ["_c", "_v"]).groupBy(key).agg(*[F.max(F.when(F.col("_c") == c, F.col("_share"))).alias(c) for c in columns])
+    return df.select(key).join(wide, key, "left")
 
 
-def running_total(df: DataFrame, order: str, amount: str) -> DataFrame:
-    """Adds ``_below``, the amounts of rows before in ``order``, and ``_all``, their sum.
+def running_total(df: DataFrame, group: list[str], order: str, amount: str) -> DataFrame:
+    """Adds ``_below``, the amounts of a group's rows before in ``order``, and ``_all``, their sum.
 
-    Rows are range-partitioned by ``order``; each partition sums its own rows and
-    adds the totals of the partitions before it, one number per partition. The
+    Rows are range-partitioned by group and order; each partition sums its own rows
+    and adds the totals of the partitions before it, one number per partition. The
     ranges are drawn from a sample, so they are written once and read twice.
     """
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    ranged = df.repartitionByRange(*group, order).withColumn("_part", F.spark_partition_id())
     parts = Scratch(df.sparkSession, "running").save(ranged)
-    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*group, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     own = parts.withColumn("_own", F.coalesce(F.sum(amount).over(within), F.lit(0)))
-    totals = parts.groupBy("_part").agg(F.sum(amount).alias("_sum"))
-    w = Window.orderBy("_part")
-    offsets = totals.select("_part", (F.sum("_sum").over(w) - F.col("_sum")).alias("_before"), F.sum("_sum").over(Window.partitionBy()).alias("_all"))
-    return own.join(F.broadcast(offsets), "_part").withColumn("_below", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
+    totals = parts.groupBy(*group, "_part").agg(F.sum(amount).alias("_sum"))
+    w = Window.partitionBy(*group)
+    before = F.sum("_sum").over(w.orderBy("_part")) - F.col("_sum")
+    offsets = totals.select(*group, "_part", before.alias("_before"), F.sum("_sum").over(w).alias("_all"))
+    return own.join(offsets, [*group, "_part"]).withColumn("_below", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undertone.durable import Scratch
 from undertone.operators.aggregates import histogram_bin, unpivot
-from undertone.operators.ranking import average_rank_share
+from undertone.operators.ranking import average_rank_shares
 from undertone.plans.base import FEATS_SQL, FEATURES, PERC_SQL, PERCEPTUAL, SIMILARITY, feats, perc
 from undertone.plans.registry import query
 
@@ -48,10 +49,10 @@ def _axes(spark: SparkSession, root: str) -> DataFrame:
 )
 def perceptual_axes(spark: SparkSession, root: str) -> DataFrame:
     """Derived axes as average-tie percentile ranks of sums of z-scores."""
-    rows = _axes(spark, root)
-    for raw, out in (("energy_raw", "energy"), ("dance_raw", "danceability"), ("acoustic_raw", "acousticness"), ("speech_raw", "speechiness")):
-        rows = average_rank_share(rows, raw, out)
-    return rows.select("id", "loudness_db", *[F.round(c, 8).alias(c) for c in ("energy", "danceability", "acousticness", "speechiness")])
+    rows = Scratch(spark, "axes").save(_axes(spark, root))
+    names = {"energy_raw": "energy", "dance_raw": "danceability", "acoustic_raw": "acousticness", "speech_raw": "speechiness"}
+    shares = average_rank_shares(rows, "id", list(names))
+    return rows.select("id", "loudness_db").join(shares, "id").select("id", "loudness_db", *[F.round(raw, 8).alias(out) for raw, out in names.items()])
 
 
 _STATS = [0.05, 0.25, 0.5, 0.75, 0.95]
