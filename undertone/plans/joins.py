@@ -126,16 +126,16 @@ def overlap_profile(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     """with member as (select distinct artist_id as playlist_id, spotify_track_id as id from documents where artist_id is not null and spotify_track_id is not null),
-  sized as (select * from member qualify count(*) over (partition by playlist_id) between 2 and 60),
+  sized as (select * from member qualify count(*) over (partition by playlist_id) between 2 and 200),
   known as (select s.*, m.primary_artist_id as artist from sized s join track_meta m on m.spotify_track_id = s.id)
   select a.id as id, count(distinct b.id) as n_related from known a join known b on a.playlist_id = b.playlist_id and a.id <> b.id
   where a.artist is null or b.artist is null or a.artist <> b.artist group by 1"""
 )
 def cooccurrence(spark: SparkSession, root: str) -> DataFrame:
-    """Tracks that share a list of 2 to 60 tracks, pairs of one artist left out."""
+    """Tracks that share a list of 2 to 200 tracks, pairs of one artist left out."""
     docs = table(spark, root, "documents").where("artist_id is not null and spotify_track_id is not null")
     member = docs.select(F.col("artist_id").alias("playlist_id"), F.col("spotify_track_id").alias("id")).distinct()
-    sizes = member.groupBy("playlist_id").agg(F.count("*").alias("n")).where("n between 2 and 60").select("playlist_id")
+    sizes = member.groupBy("playlist_id").agg(F.count("*").alias("n")).where("n between 2 and 200").select("playlist_id")
     meta = table(spark, root, "track_meta").select(F.col("spotify_track_id").alias("id"), F.col("primary_artist_id").alias("artist"))
     known = member.join(sizes, "playlist_id", "left_semi").join(meta, "id")
     a, b = known.select("playlist_id", F.col("id").alias("ia"), F.col("artist").alias("aa")), known.select("playlist_id", F.col("id").alias("ib"), F.col("artist").alias("ab"))

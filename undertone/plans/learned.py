@@ -38,11 +38,11 @@ def cluster_model(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def whitened_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    """Ten nearest tracks of the tracks of the smallest ids in whitened space, exactly."""
+    """Ten nearest tracks of one seed in whitened space, exactly."""
     rows = _complete(spark, root)
     w = models.whitening_matrix(rows, "v", len(SIMILARITY))
     rows = models.apply_matrix(rows, "v", w, "u") if w is not None else rows.withColumn("u", F.col("v"))
-    return models.nearest_k(rows, "id", "u", rows.orderBy("id").limit(20), 10).select("seed", "item", "rank", F.round("distance", 5).alias("distance"))
+    return models.nearest_k(rows, "id", "u", rows.orderBy("id").limit(1), 10).select("seed", "item", "rank", F.round("distance", 5).alias("distance"))
 
 
 @query()

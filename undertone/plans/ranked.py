@@ -63,7 +63,10 @@ _STATS = [0.05, 0.25, 0.5, 0.75, 0.95]
     "round(min(v), 8) as low, " + ", ".join(f"round(quantile_cont(v, {q}), 8) as p{int(q * 100)}" for q in _STATS) + ", round(max(v), 8) as high from l where abs(v) < 1e12 group by 1"
 )
 def feature_stats(spark: SparkSession, root: str) -> DataFrame:
-    """Count, mean, extremes and interpolated percentiles of every perceptual column."""
+    """Count, mean, extremes and interpolated percentiles of every perceptual column.
+
+    Values of 1e12 and more are no measurements of these columns and are left out.
+    """
     long = unpivot(perc(spark, root), [], PERCEPTUAL).where("abs(value) < 1e12")
     at = F.percentile("value", F.array(*[F.lit(q) for q in _STATS]))
     rows = long.groupBy("feature").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), at.alias("p"), F.max("value").alias("high"))
