@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,8 +210,6 @@ def nearest_vectors(vectors: DataFrame, ident: str, vector: str, k: int = 5, sha
     apart = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(2), 1e-12))
 
     def route(batches):
-        import pyarrow as pa
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -227,15 +226,12 @@ def nearest_vectors(vectors: DataFrame, ident: str, vector: str, k: int = 5, sha
 
     routed = reps.select("rep", "v").mapInArrow(route, "rep string, v array<float>, shard int, own boolean")
 
-    def search(pdf):
-        import pandas as pd
-
-        own = pdf["own"].to_numpy()
-        x = np.stack(pdf["v"].to_numpy()).astype(np.float32)
-        names = pdf["rep"].to_numpy()
+    def search(shard: pa.Table) -> pa.Table:
+        own = shard.column("own").to_numpy()
+        x = np.ascontiguousarray(shard.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(shard.num_rows, -1), np.float32)
         inside = np.flatnonzero(own)
         if not len(inside):
-            return pd.DataFrame({"rep": [], "near": [], "d": []})
+            return pa.table({"rep": pa.array([], pa.string()), "near": pa.array([], pa.string()), "d": pa.array([], pa.float64())})
         points = np.ascontiguousarray(x[inside])
         graph, entry = build_graph(points)
         want = min(k + 1, len(points))
@@ -246,11 +242,12 @@ def nearest_vectors(vectors: DataFrame, ident: str, vector: str, k: int = 5, sha
             near.append(i[:, :want])
             dist.append(d[:, :want])
         near, dist = np.concatenate(near), np.concatenate(dist)
-        ok = near >= 0
-        row, col = np.nonzero(ok)
-        return pd.DataFrame({"rep": names[row], "near": names[inside[near[row, col]]], "d": np.sqrt(dist[row, col].astype(np.float64))})
+        row, col = np.nonzero(near >= 0)
+        reps_here = shard.column("rep")
+        found = pa.table({"rep": reps_here.take(pa.array(row)), "near": reps_here.take(pa.array(inside[near[row, col]])), "d": pa.array(np.sqrt(dist[row, col].astype(np.float64)))})
+        return found.combine_chunks()
 
-    hits = scratch.save(routed.groupBy("shard").applyInPandas(search, "rep string, near string, d double").where("rep <> near").distinct())
+    hits = scratch.save(routed.groupBy("shard").applyInArrow(search, "rep string, near string, d double").where("rep <> near").distinct())
     best = Window.partitionBy("rep").orderBy("d", "near")
     hits = hits.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("rep", "near", "d")
     hits = scratch.save(hits)
