@@ -40,3 +40,44 @@ def test_nearest_and_labels(spark):
     rows = spark.createDataFrame([(0, 1.0), (0, 1.1), (1, 9.0), (1, 9.1), (2, 5.0)], "c int, tempo double")
     labels = {r["c"]: r["label"] for r in models.label_clusters(rows, "c", {"tempo": ("fast", "slow")}).collect()}
     assert labels == {0: "slow", 1: "fast", 2: "Mixed"}
+
+
+def _brute(ids, x, seeds, k):
+    want = {}
+    for s in seeds:
+        d = np.sqrt(((x - x[ids.index(s)]) ** 2).sum(1))
+        order = sorted((round(float(v), 9), i) for i, v in zip(ids, d) if i != s)[:k]
+        want[s] = [i for _, i in order]
+    return want
+
+
+def test_many_seeds_in_blocks_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 4, (1500, 3)).astype(float)  # many ties and copies
+    ids = [f"{i:04}" for i in range(1500)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)] + [("null", None), (None, [0.0, 0.0, 0.0])], "id string, v array<double>").repartition(7)
+    seeds = ids[::50]
+    got = {}
+    for r in models.nearest_k(df, "id", "v", df.where(df.id.isin(seeds)), 5, block=8).orderBy("seed", "rank").collect():
+        got.setdefault(r["seed"], []).append(r["item"])
+    assert got == _brute(ids, x, seeds, 5)
+    few = models.nearest_k(df.limit(3), "id", "v", df.limit(3), 5)
+    assert few.count() == 6
+    assert models.nearest_k(df, "id", "v", df.where("false"), 5).count() == 0
+
+
+def test_whitened_search_takes_every_stated_seed(spark):
+    from pathlib import Path
+
+    import pytest
+
+    from undertone import catalogue
+    from undertone.plans.base import is_seed
+    from undertone.plans.learned import _complete
+
+    root = "/root/testdata/sf0.01"
+    if not Path(root).exists():
+        pytest.skip("no test data")
+    want = {r["id"] for r in _complete(spark, root).where(is_seed("id")).collect()}
+    got = catalogue.queries()["whitened_neighbours"](spark, root).collect()
+    assert len(want) > 5 and {r["seed"] for r in got} == want and len(got) == 10 * len(want)

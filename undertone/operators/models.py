@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -10,6 +14,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from undertone.durable import Scratch
 
 
 def fit_clusters(df: DataFrame, vector: str, ks: range, seed: int = 42) -> tuple[DataFrame, int, float]:
@@ -100,10 +107,69 @@ def label_clusters(df: DataFrame, cluster: str, columns: dict[str, tuple[str, st
     return means.select(cluster, F.when(F.size(words) == 0, "Mixed").otherwise(F.array_join(words, " · ")).alias("label"))
 
 
-def nearest_k(df: DataFrame, ident: str, vector: str, seeds: DataFrame, k: int) -> DataFrame:
-    """Exact neighbours of a stated, small set of seeds against all rows: ``(seed, item, rank, distance)``."""
-    from undertone.functions.vectors import euclid
-
-    s = seeds.select(F.col(ident).alias("seed"), F.col(vector).alias("_s"))
-    pairs = df.join(F.broadcast(s), F.lit(True)).where(F.col(ident) != F.col("seed")).select("seed", F.col(ident).alias("item"), euclid(F.col(vector), F.col("_s")).alias("distance"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("distance", "item"))).where(F.col("rank") <= k)
+#: Seeds searched in one pass over the rows; their vectors travel with its tasks.
+SEED_BLOCK = 2048
+
+
+def _search_block(ids: list, vectors: np.ndarray, k: int, chunk: int = 1024):
+    """The ``k`` nearest rows of a partition for each seed of a block, ties to the smaller id."""
+    place = {s: i for i, s in enumerate(ids)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, dist, item = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
+        worst, kind = np.full(len(ids), np.inf), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column(0).type
+            names = np.array(batch.column(0).to_pylist(), object)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for at in range(0, len(x), chunk):
+                part, near = x[at : at + chunk], names[at : at + chunk]
+                d = np.zeros((len(ids), len(part)))
+                for j in range(part.shape[1]):
+                    step = part[:, j][None, :] - vectors[:, j][:, None]
+                    d += step * step
+                d = np.sqrt(d)
+                own = [(place[n], i) for i, n in enumerate(near) if n in place]
+                for r, i in own:
+                    d[r, i] = np.inf
+                last = min(k, len(part)) - 1
+                limit = np.minimum(np.partition(d, last, axis=1)[:, last], worst) if len(part) >= k else worst
+                fits = d <= limit[:, None]
+                for r, i in own:
+                    fits[r, i] = False
+                r, i = np.nonzero(fits)
+                row, dist, item = np.concatenate([row, r]), np.concatenate([dist, d[r, i]]), np.concatenate([item, near[i]])
+                order = np.lexsort((np.unique(item, return_inverse=True)[1], dist, row))
+                row, dist, item = row[order], dist[order], item[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                worst[row[rank == k - 1]] = dist[rank == k - 1]
+                row, dist, item = row[rank < k], dist[rank < k], item[rank < k]
+        if kind is not None:
+            seed = pa.array([ids[r] for r in row], kind)
+            yield pa.RecordBatch.from_arrays([seed, pa.array(item.tolist(), kind), pa.array(dist)], names=["seed", "item", "distance"])
+
+    return run
+
+
+def nearest_k(df: DataFrame, ident: str, vector: str, seeds: DataFrame, k: int, block: int = SEED_BLOCK) -> DataFrame:
+    """Exact neighbours of every seed against all rows: ``(seed, item, rank, distance)``.
+
+    Seeds have distinct ids and are searched about ``block`` at a time. Each task keeps ``k`` rows a seed, so what is gathered is
+    bounded whatever the size of ``df``, which is read once per block. Ties in
+    distance go to the smaller id; null ids or vectors are left out.
+    """
+    scratch = Scratch(df.sparkSession, "nearest")
+    rows = df.select(F.col(ident).alias("item"), F.col(vector).cast("array<double>").alias("v")).dropna()
+    s = scratch.save(seeds.select(F.col(ident).alias("seed"), F.col(vector).cast("array<double>").alias("v")).dropna())
+    kind = rows.schema["item"].dataType
+    schema = T.StructType([T.StructField("seed", kind), T.StructField("item", kind), T.StructField("distance", T.DoubleType())])
+    found = df.sparkSession.createDataFrame([], schema)
+    blocks = math.ceil(s.count() / block)
+    for b in range(blocks):
+        own = s.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == b).collect()
+        if own:
+            found = found.unionByName(scratch.save(rows.mapInArrow(_search_block([r["seed"] for r in own], np.array([r["v"] for r in own], float), k), schema)))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy("distance", "item"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("seed", "item", "rank", "distance")

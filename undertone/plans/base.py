@@ -55,6 +55,14 @@ excluded as (
 canonical as (select id from analyzed where id not in (select id from excluded))"""
 
 
+#: Queries of a search: every 50th id by its MD5, which Spark and SQL agree on.
+SEED_SQL = "('0x' || substr(md5(id), 1, 8))::bigint % 50 = 0"
+
+
+def is_seed(ident: str):
+    return F.conv(F.substring(F.md5(F.col(ident).cast("binary")), 1, 8), 16, 10).cast("long") % 50 == 0
+
+
 def feats(spark: SparkSession, root: str) -> DataFrame:
     """Newest extraction of every track, the named JSON numbers as columns."""
     latest = keep_latest(

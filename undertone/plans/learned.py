@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undertone.durable import Scratch
 from undertone.operators import models
-from undertone.plans.base import SIMILARITY, feats, perc
+from undertone.plans.base import SIMILARITY, feats, is_seed, perc
 from undertone.plans.registry import query
 from undertone.streaming.events import drain, read_events, windowed_counts
 from undertone.tables import table
@@ -38,11 +39,12 @@ def cluster_model(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def whitened_neighbours(spark: SparkSession, root: str) -> DataFrame:
-    """Ten nearest tracks of one seed in whitened space, exactly."""
+    """Ten nearest tracks of every 50th track in whitened space, exactly."""
     rows = _complete(spark, root)
     w = models.whitening_matrix(rows, "v", len(SIMILARITY))
     rows = models.apply_matrix(rows, "v", w, "u") if w is not None else rows.withColumn("u", F.col("v"))
-    return models.nearest_k(rows, "id", "u", rows.orderBy("id").limit(1), 10).select("seed", "item", "rank", F.round("distance", 5).alias("distance"))
+    rows = Scratch(spark, "whitened").save(rows.select("id", "u"))
+    return models.nearest_k(rows, "id", "u", rows.where(is_seed("id")), 10).select("seed", "item", "rank", F.round("distance", 5).alias("distance"))
 
 
 @query()
