@@ -81,3 +81,23 @@ def test_whitened_search_takes_every_stated_seed(spark):
     want = {r["id"] for r in _complete(spark, root).where(is_seed("id")).collect()}
     got = catalogue.queries()["whitened_neighbours"](spark, root).collect()
     assert len(want) > 5 and {r["seed"] for r in got} == want and len(got) == 10 * len(want)
+
+
+def test_similar_search_against_brute_force(spark):
+    from pathlib import Path
+
+    import pytest
+
+    from undertone import catalogue
+    from undertone.plans.base import is_seed
+    from undertone.plans.joins import similarity_plane
+
+    root = "/root/testdata/sf0.01"
+    if not Path(root).exists():
+        pytest.skip("no test data")
+    rows = similarity_plane(spark, root).withColumn("seed", is_seed("id")).collect()
+    ids, x, seeds = [r["id"] for r in rows], np.array([r["v"] for r in rows]), [r["id"] for r in rows if r["seed"]]
+    got = {}
+    for r in catalogue.queries()["similar_search"](spark, root).orderBy("seed", "rank").collect():
+        got.setdefault(r["seed"], []).append(r["item"])
+    assert len(seeds) > 5 and got == _brute(ids, x, seeds, 6)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from undertone.durable import Scratch
 from undertone.functions.vectors import euclid
+from undertone.operators.models import nearest_k
 from undertone.operators.ranking import top_per_group
-from undertone.plans.base import FEATS_SQL, LISTEN_SQL, PERC_SQL, SIMILARITY, TWINS_SQL, canonical, excluded, feats, listen, perc
+from undertone.plans.base import FEATS_SQL, LISTEN_SQL, PERC_SQL, SEED_SQL, SIMILARITY, TWINS_SQL, canonical, excluded, feats, is_seed, listen, perc
 from undertone.plans.registry import query
 from undertone.tables import table
 
@@ -168,6 +170,20 @@ def similar_tracks(spark: SparkSession, root: str) -> DataFrame:
     return z.join(F.broadcast(seed), F.lit(True)).where("id <> seed").select("id", d.alias("d")).orderBy("d", "id").limit(6).select("id", F.round("d", 5).alias("distance"))
 
 
+_D_SQL = "sqrt(" + " + ".join(f"power(z.{c} - seed.{c}, 2)" for c in SIMILARITY) + ")"
+
+
+@query(
+    f"""{_Z_SQL}, seed as (select * from z where {SEED_SQL}), d as (select seed.id as seed, z.id as item, {_D_SQL} as d from z join seed on z.id <> seed.id)
+  select seed, item, rank, round(d, 5) as distance from (select *, row_number() over (partition by seed order by d, item) as rank from d) where rank <= 6"""
+)
+def similar_search(spark: SparkSession, root: str) -> DataFrame:
+    """The six nearest tracks of every 50th track, exactly; ``similar_tracks`` is its lookup for one seed."""
+    z = Scratch(spark, "similar").save(similarity_plane(spark, root))
+    near = nearest_k(z, "id", "v", z.where(is_seed("id")), 6)
+    return near.select("seed", "item", F.col("rank").cast("long").alias("rank"), F.round("distance", 5).alias("distance"))
+
+
 _CENT = ["tempo", "energy", "danceability", "acousticness"]
 
 
