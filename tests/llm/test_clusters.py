@@ -49,3 +49,24 @@ def test_edge_cases(spark):
     assert _run(spark, [("x", [0.0, 1.0])], 0) == ({}, {})
     got, sizes = _run(spark, [("x", [0.0, 1.0]), ("y", [0.0, 1.0])], 3)
     assert got["x"] == got["y"] and list(sizes.values()) == [2]
+
+
+def test_small_group_behind_many_fragments(spark):
+    rows = [(f"z{i}", [0.0] * 13) for i in range(9)]
+    for a in range(13):
+        for b in range(a):
+            for sign in (1.0, -1.0):
+                rows += [(f"f{a}-{b}-{sign}-{i}", [sign if j in (a, b) else 0.0 for j in range(13)]) for i in range(3)]
+    rows += [(f"s{i}", [5.0] * 13) for i in range(2)]
+    got, sizes = _run(spark, rows, 2)
+    assert sorted(sizes.values()) == [2, len(rows) - 2] and got["s0"] == got["s1"] != got["z0"]
+
+
+def test_loose_part_is_seated_to_its_end(spark):
+    from undertone.durable import Scratch
+    from undertone.llm.clusters import _split_loose
+
+    cells = [(i, 1, [10.0 * i], 100.0 * i * i, [10.0 * i], 7, 50 - i) for i in range(5)]
+    state = spark.createDataFrame(cells, "cell long, n long, sum array<double>, norm double, mean array<double>, part long, degree long")
+    got = {r["cell"]: r["part"] for r in _split_loose(Scratch(spark, "t"), state, 1, 2.0, 2).collect()}
+    assert got == {i: i for i in range(5)}

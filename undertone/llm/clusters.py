@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undertone.durable import Scratch
 from undertone.llm.components import hash_to_min
 
-#: Components brought to the driver when the final groups are chosen, per wanted group.
+#: Components brought to the driver at a time when the final groups are chosen, per wanted group.
 HEAVIEST = 64
+#: Cells of each loose part looked at in one round of its split.
+PAGE = 64
 
 
 def _bands(bands: int, rows: int):
@@ -91,16 +94,24 @@ def group_similar(rows: DataFrame, ident: str, vector: str, groups: int, similar
     parts = hash_to_min(linked, "a", "b").toDF("cell", "part")
     state = cells.join(parts, "cell", "left").join(degree, "cell", "left").withColumn("part", F.coalesce("part", "cell")).withColumn("degree", F.col("n") + F.coalesce("degree", F.lit(0)))
     state = scratch.save(state.withColumn("mean", F.transform("sum", lambda x: x / F.col("n"))))
-    state = _split_loose(scratch, state, dims, near, groups)
+    state = _split_loose(scratch, state, dims, near)
 
     total = [F.sum(F.element_at("sum", i + 1)).alias(f"s{i}") for i in range(dims)]
     best = F.max_by("mean", F.struct("degree", "cell")).alias("medoid")
     whole = state.groupBy("part").agg(F.sum("n").alias("n"), best, *total)
     whole = scratch.save(whole.select("part", "n", "medoid", F.array(*[F.col(f"s{i}") / F.col("n") for i in range(dims)]).alias("mean")))
     chosen: list = []
-    for r in whole.orderBy(F.desc("n"), "part").limit(HEAVIEST * groups).collect():
-        if len(chosen) < groups and all(sum((x - y) ** 2 for x, y in zip(r["mean"], c["mean"])) ** 0.5 > near for c in chosen):
-            chosen.append(r)
+    # Parts near to a chosen one are left out of the next page, so there are at most ``groups`` pages.
+    page = whole.orderBy(F.desc("n"), "part").limit(HEAVIEST * groups).collect()
+    while page and len(chosen) < groups:
+        for r in page:
+            if len(chosen) < groups and all(sum((x - y) ** 2 for x, y in zip(r["mean"], c["mean"])) ** 0.5 > near for c in chosen):
+                chosen.append(r)
+        n, part = page[-1]["n"], page[-1]["part"]
+        left = whole.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("part") > part)))
+        for c in chosen:
+            left = left.where(F.sqrt(_distance2(F.col("mean"), F.array(*[F.lit(x) for x in c["mean"]]))) > near)
+        page = left.orderBy(F.desc("n"), "part").limit(HEAVIEST * groups).collect() if len(chosen) < groups else []
     centre = F.array(*[F.struct(_distance2(F.col("mean"), F.array(*[F.lit(x) for x in c["mean"]])).alias("d"), F.lit(g).alias("group")) for g, c in enumerate(chosen)])
     named = scratch.save(whole.select("part", F.array_min(centre)["group"].alias("group")))
     where = scratch.save(state.select("cell", "part").join(named, "part").select("cell", "group"))
@@ -112,8 +123,12 @@ def group_similar(rows: DataFrame, ident: str, vector: str, groups: int, similar
     return scratch.save(members), medoid.join(middle, "group").select("group", "medoid", "size")
 
 
-def _split_loose(scratch: Scratch, state: DataFrame, dims: int, near: float, groups: int) -> DataFrame:
-    """Split every part whose spread exceeds what one group has around its best connected cells."""
+def _split_loose(scratch: Scratch, state: DataFrame, dims: int, near: float, page: int = PAGE) -> DataFrame:
+    """Split every part whose spread exceeds what one group has around its best connected cells.
+
+    The cell of highest degree that is farther than ``near`` from all seats gets
+    a seat, until there is none; a round looks at ``page`` such cells of each part.
+    """
     shape = state.groupBy("part").agg(F.sum("n").alias("n"), F.sum("norm").alias("norm"), *[F.sum(F.element_at("sum", i + 1)).alias(f"s{i}") for i in range(dims)])
     mean2 = sum((F.col(f"s{i}") / F.col("n")) ** 2 for i in range(dims))
     loose = scratch.save(shape.where(F.col("norm") / F.col("n") - mean2 > (0.6 * near) ** 2).select("part"))
@@ -121,13 +136,30 @@ def _split_loose(scratch: Scratch, state: DataFrame, dims: int, near: float, gro
         return state
     rest = state.join(loose, "part", "left_anti")
     split = scratch.save(state.join(loose, "part").withColumn("best", F.lit(float("inf"))).withColumn("seat", F.col("part")))
-    for _ in range(groups):
-        fresh = split.where(F.col("best") > near).groupBy("part").agg(F.max_by(F.struct("cell", "mean"), F.struct("degree", "cell")).alias("m"))
-        fresh = scratch.save(fresh)
+    order = Window.partitionBy("part").orderBy(F.desc("degree"), F.desc("cell"))
+    schema = T.StructType([split.schema["part"], T.StructField("seats", T.ArrayType(T.StructType([split.schema["cell"], split.schema["mean"]])))])
+
+    def seats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for cells in batch.column(1).to_pylist():
+                kept: list = []
+                for c in sorted(cells, key=lambda c: c["r"]):
+                    if all(sum((x - y) ** 2 for x, y in zip(c["mean"], k["mean"])) ** 0.5 > near for k in kept):
+                        kept.append({"cell": c["cell"], "mean": c["mean"]})
+                out.append(kept)
+            kind = pa.list_(pa.struct([("cell", pa.int64()), ("mean", pa.list_(pa.float64()))]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["part", "seats"])
+
+    while True:
+        far = split.where(F.col("best") > near).withColumn("r", F.row_number().over(order)).where(F.col("r") <= page)
+        fresh = scratch.save(far.groupBy("part").agg(F.collect_list(F.struct("r", "cell", "mean")).alias("cells")).mapInArrow(seats, schema))
         if fresh.isEmpty():
             break
-        d = F.sqrt(_distance2(F.col("mean"), F.col("m.mean")))
-        closer = F.col("m").isNotNull() & (d < F.col("best"))
-        split = scratch.save(split.join(fresh, "part", "left").withColumn("seat", F.when(closer, F.col("m.cell")).otherwise(F.col("seat"))).withColumn("best", F.when(closer, d).otherwise(F.col("best"))).drop("m"))
+        nearest = F.array_min(F.transform("seats", lambda m, i: F.struct(F.sqrt(_distance2(F.col("mean"), m["mean"])).alias("d"), i.alias("i"), m["cell"].alias("cell"))))
+        joined = split.join(fresh, "part", "left").withColumn("m", nearest)
+        closer = F.col("m").isNotNull() & (F.col("m.d") < F.col("best"))
+        old, split = split, scratch.save(joined.withColumn("seat", F.when(closer, F.col("m.cell")).otherwise(F.col("seat"))).withColumn("best", F.when(closer, F.col("m.d")).otherwise(F.col("best"))).drop("m", "seats"))
+        scratch.drop(old)
     split = split.withColumn("part", F.col("seat")).drop("best", "seat")
     return scratch.save(rest.unionByName(split))
