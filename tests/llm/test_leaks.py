@@ -35,3 +35,8 @@ def test_seeds_beyond_the_carried_bound(spark, monkeypatch):
 
     monkeypatch.setattr(m, "CARRIED_SEEDS", 0)
     test_leaks(spark)
+
+
+def test_documents_outside_ascii_are_searched(spark):
+    item = "раз два три четыре пять шесть семь восемь девять десять"
+    assert _run(spark, [(1, f"ну {item.upper()}"), (2, "— !")], [(10, item)]) == {(1, 10): 10}

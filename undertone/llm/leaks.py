@@ -152,7 +152,7 @@ def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "leaks")
-    corpus = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").rlike(r"\w"))
+    corpus = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
     tests = items.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("item_text")).where(F.col("item").isNotNull() & F.col("item_text").isNotNull()).distinct()
 
     def ordered(batches):
