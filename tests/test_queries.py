@@ -52,3 +52,12 @@ def test_scans_read_only_what_they_need(spark):
 def test_duplicate_pairs_are_no_cross_join(spark):
     plan = _plan(catalogue.queries()["duration_duplicates"](spark, str(ROOT)))
     assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_version_totals_leave_no_track_out(spark, duck):
+    rows = catalogue.queries()["version_totals"](spark, str(ROOT))
+    res = duck.execute(catalogue.oracle_sql()["version_totals"])
+    cols = [d[0] for d in res.description]
+    assert sorted((_plain([r[c] for c in cols]) for r in rows.collect()), key=repr) == sorted(map(_plain, res.fetchall()), key=repr)
+    tracks = duck.execute(f"select count(distinct spotify_track_id) from '{ROOT}/track_perceptual.parquet'").fetchone()[0]
+    assert sum(r["n"] for r in rows.collect()) == tracks
