@@ -59,3 +59,19 @@ def test_empty(spark):
     df = _docs(spark)
     assert mix_sources(df.limit(0), "id", "src", "text", [("a", 1.0, 1)]).count() == 0
     assert mix_sources(df, "id", "src", "text", []).count() == 0
+
+
+def test_draws_stay_near_their_mean():
+    from undertone.llm.mixing import draw
+
+    share = np.array([0.55, 0.3, 0.11, 0.04])
+    counts = np.stack([draw(i, 64, share, 7) for i in range(400)])
+    assert (counts.sum(1) == 64).all() and (np.abs(counts - 64 * share) < 2).all()
+    assert (np.abs(counts.mean(0) - 64 * share) < 0.1).all() and len(np.unique(counts, axis=0)) > 1
+    assert draw(0, 0, share, 7).sum() == 0
+
+
+def test_little_data_gives_a_part_of_a_shard(spark):
+    docs = spark.createDataFrame([(1, "a", "one two three"), (2, "b", "four five")], "id long, src string, text string")
+    rows = mix_sources(docs, "id", "src", "text", [("a", 0.5, 1), ("b", 0.5, 1)]).collect()
+    assert rows and {r["shard"] for r in rows} == {0} and len({r["doc"] for r in rows}) == len(rows)

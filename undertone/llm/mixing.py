@@ -5,9 +5,12 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces whose token counts a worker remembers.
 CACHE = 400_000
+#: Shards whose running totals one window task sums up.
+SHARDS_TOGETHER = 4096
 
 
 class TokenCounter:
@@ -47,17 +52,32 @@ class TokenCounter:
         return total
 
 
-def _count(path: str):
+@lru_cache(maxsize=2)
+def _counter(name: str) -> TokenCounter:
+    """Counter of a shipped vocabulary, one per worker process."""
+    return TokenCounter(SparkFiles.get(name))
+
+
+def _count(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
         for batch in batches:
-            counter = counter or TokenCounter(path)
-            sizes = [counter(t) for t in batch.column(2).to_pylist()]
+            sizes = [_counter(name)(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc", "source", "tokens"])
 
     return run
 
 
+def draw(shard: int, slots: int, share: np.ndarray, seed: int) -> np.ndarray:
+    """Source counts of one shard: a multinomial draw with one stratum per slot.
+
+    Slot i falls to the source that holds a uniform number from i / slots to
+    (i + 1) / slots, so every count has the mean of the plain draw and stays
+    within two of it, however few the slots.
+    """
+    u = (np.arange(slots) + np.random.default_rng([seed, shard]).random(slots)) / max(slots, 1)
+    return np.bincount(np.searchsorted(np.cumsum(share)[:-1], u, side="right"), minlength=len(share))
+
+
 def _feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     """Pseudorandom permutation of 0..n-1 at ``x``: Feistel rounds on the next even power of two, walked back into range."""
     half = max(1, math.ceil(math.ceil(math.log2(max(n, 2))) / 2))
@@ -98,12 +118,13 @@ def mix_sources(
     The documents of a source, in a pseudorandom order, form one stream of tokens
     that is cut into blocks of ``block`` tokens (its last block may be shorter).
     The output is a row of shards of ``shard_blocks`` slots. The slots of a shard
-    are dealt to the sources by one multinomial draw of its own; the j-th slot
-    that a source gets overall reads its block ``perm(j mod n)``, a permutation
-    that is computed, not stored, and differs for every pass ``j div n``. So
-    every block serves once before any serves again. The mix has as many shards
-    as can be dealt before a source would need a block more than its
-    ``max_repeats`` allows.
+    are dealt to the sources by one stratified multinomial draw of its own; the
+    j-th slot that a source gets overall reads its block ``perm(j mod n)``, a
+    permutation that is computed, not stored, and differs for every pass
+    ``j div n``. So every block serves once before any serves again. The mix has
+    as many slots as can be dealt before a source would need a block more than
+    its ``max_repeats`` allows; its last shard may have fewer slots. The
+    vocabulary file is shipped to the workers.
 
     ``targets`` holds (source, share, max_repeats), a small configuration: null
     sources and shares that are null or not positive are ignored, the rest is
@@ -118,14 +139,17 @@ def mix_sources(
     wanted = {s: (float(w), int(r or 1)) for s, w, r in targets if s is not None and w is not None and w > 0}
     base = docs.select(F.col(doc).cast("long").alias("doc"), F.col(source).alias("source"), F.col(text).alias("text"))
     base = base.where(F.col("doc").isNotNull() & F.col("source").isin(list(wanted)) & (F.length("text") > 0))
-    sized = scratch.save(base.mapInArrow(_count(tokenizer), "doc long, source string, tokens long"))
+    spark.sparkContext.addFile(tokenizer)
+    sized = scratch.save(base.mapInArrow(_count(Path(tokenizer).name), "doc long, source string, tokens long"))
     totals = {r["source"]: (r["docs"], r["tokens"]) for r in sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")).collect()}
     names = [s for s in wanted if totals.get(s, (0, 0))[1]]
     n_blocks = {s: -(-totals[s][1] // block) for s in names}
     share = np.array([wanted[s][0] for s in names])
     share = share / share.sum() if names else share
     room = {s: n_blocks[s] * wanted[s][1] for s in names}
-    most = math.ceil(min((room[s] / p for s, p in zip(names, share)), default=0) / shard_blocks) + 1
+    # The draws of a source wander little, so a few shards more than the mean needs reach the end of the scarcest.
+    shards = math.ceil(min((room[s] / p for s, p in zip(names, share)), default=0) / shard_blocks)
+    most = shards + 2 + math.isqrt(shards)
 
     buckets = max(1, 1 << math.ceil(math.log2(max(1, sum(d for d, _ in totals.values()) / 100_000))))
     placed = _offsets(sized.where("tokens > 0"), "source", F.xxhash64("doc", "source", F.lit(seed)), "tokens", buckets)
@@ -142,17 +166,26 @@ def mix_sources(
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            drawn = np.concatenate([np.random.default_rng([seed, int(i)]).multinomial(shard_blocks, share) for i in ids]) if len(ids) else np.empty(0, np.int64)
+            drawn = np.concatenate([draw(int(i), shard_blocks, share, seed) for i in ids]) if len(ids) else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(names))), pa.array(names * len(ids), pa.string()), pa.array(drawn.astype(np.int64))], names=["shard", "source", "n"])
 
-    dealt = scratch.save(spark.range(max(1, most)).mapInArrow(deal, "shard long, source string, n long"))
-    so_far = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = dealt.withColumn("upto", F.sum("n").over(so_far))
+    dealt = scratch.save(spark.range(most).mapInArrow(deal, "shard long, source string, n long"))
+    together = F.floor(F.col("shard") / SHARDS_TOGETHER)
+    totals_so_far = Window.partitionBy("source").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("source", together.alias("_g")).agg(F.sum("n").alias("_t")).select("source", "_g", F.coalesce(F.sum("_t").over(totals_so_far), F.lit(0)).alias("_before"))
+    so_far = Window.partitionBy("source", "_g").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = dealt.withColumn("_g", together).withColumn("_own", F.sum("n").over(so_far)).join(before, ["source", "_g"])
+    ranges = ranges.select("shard", "source", "n", (F.col("_before") + F.col("_own")).alias("upto"))
     limits = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(room[s]))])
-    beyond = ranges.where(F.col("upto") > limits[F.col("source")]).agg(F.min("shard")).first()[0]
-    used = ranges if beyond is None else ranges.where(F.col("shard") < beyond)
-    if beyond == 0:
-        raise ValueError("a source is too small for one shard of the mix; choose fewer blocks per shard")
+    end = ranges.where(F.col("upto") > limits[F.col("source")]).agg(F.min("shard")).first()[0]
+    used = ranges
+    if end is not None:
+        # The shard that would exceed a source is dealt again with as many slots as are left for all.
+        left = {r["source"]: room[r["source"]] - r["upto"] + r["n"] for r in ranges.where(F.col("shard") == end).collect()}
+        fits = (draw(end, m, share, seed) for m in range(shard_blocks, -1, -1))
+        last = next(n for n in fits if all(c <= left[s] for s, c in zip(names, n)))
+        rest = spark.createDataFrame([(end, s, int(c), room[s] - left[s] + int(c)) for s, c in zip(names, last)], "shard long, source string, n long, upto long")
+        used = ranges.where(F.col("shard") < end).unionByName(rest)
     in_shard = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slots = used.withColumn("first_slot", in_shard).where("n > 0").select("shard", "source", "first_slot", F.posexplode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("at", "j"))
 
