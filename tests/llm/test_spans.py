@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from undertone.llm import spans
-from undertone.llm.spans import Grams, compact_windows, shared_spans
+from undertone.llm.spans import Grams, compact_windows, shared_cover, shared_spans
 
 
 def test_compact_windows_cover_every_stretch_once():
@@ -53,9 +53,34 @@ def test_pairs_match_brute_force(spark):
 
 def test_wide_buckets_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(spans, "WIDE_BUCKET", 2)
-    monkeypatch.setattr(spans, "GRID", 4)
     assert _run(spark, _docs(), 40) == _brute(_docs(), 40)
 
 
+def test_cover_matches_brute_force(spark):
+    docs = _docs()
+    df = spark.createDataFrame([(i, t, 0, 0) for i, t in docs], "id long, text string, rep int, n int")
+    got = {r["id"]: (r["rep"], r["n_copies"], r["passages"], r["most_sharers"], r["shared_chars"]) for r in shared_cover(df, "id", "text", 40).collect()}
+    texts = {i: t for i, t in docs if len(t or "") >= 40}
+    rep = {i: min(j for j, u in texts.items() if u == t) for i, t in texts.items()}
+    holders = {}
+    for i, t in texts.items():
+        for p in range(len(t) - 39):
+            holders.setdefault(t[p : p + 40], set()).add(rep[i])
+    root = {i: i for i in texts}
+    for group in [s for s in holders.values() if len(s) > 1]:
+        low = min(root[i] for i in group)
+        old = {root[i] for i in group}
+        root = {i: low if r in old else r for i, r in root.items()}
+    want = {}
+    for i, t in texts.items():
+        own = [p for p in range(len(t) - 39) if len(holders[t[p : p + 40]]) > 1]
+        n = sum(rep[j] == rep[i] for j in texts)
+        if own or n > 1:
+            chars = len(t) if n > 1 else len({c for p in own for c in range(p, p + 40)})
+            want[i] = (rep[i], n - 1, root[rep[i]], max([len(holders[t[p : p + 40]]) for p in own], default=1), chars)
+    assert got == want
+
+
 def test_empty(spark):
     assert _run(spark, [], 40) == set()
+    assert shared_cover(spark.createDataFrame([], "id long, text string"), "id", "text", 40).count() == 0

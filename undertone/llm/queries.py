@@ -16,7 +16,7 @@ from undertone.llm.mixing import mix_sources
 from undertone.llm.neighbours import nearest_vectors
 from undertone.llm.quantiles import merge, percentiles, summarise
 from undertone.llm.recordings import same_recordings
-from undertone.llm.spans import shared_spans
+from undertone.llm.spans import shared_cover, shared_spans
 from undertone.tables import table
 
 FIELDS = ["isrc", "album_release_date", "popularity", "album_image_url", "duration_ms"]
@@ -200,23 +200,11 @@ def p10_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_shared(spark: SparkSession, root: str) -> DataFrame:
-    """Per document: partners with another text, exact copies, and characters shared elsewhere."""
+    """Per document: its class of exact copies, its class of shared passages, and how much of it stands elsewhere."""
     docs = table(spark, root, "documents")
-    links, copies = shared_spans(docs, "doc_id", "text")
-    sides = links.select("a", "starts_a", "ends_a").toDF("rep", "starts", "ends").unionByName(links.select("b", "starts_b", "ends_b").toDF("rep", "starts", "ends"))
-    spans = sides.select("rep", F.explode(F.arrays_zip("starts", "ends")).alias("s")).select("rep", F.col("s.starts").alias("start"), F.col("s.ends").alias("end")).distinct()
-    reach = Window.partitionBy("rep").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    fresh = spans.withColumn("seen", F.coalesce(F.max("end").over(reach), F.lit(0)))
-    covered = fresh.groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "seen"))).alias("covered"))
-    partners = sides.groupBy("rep").agg(F.count("*").alias("n_partners"))
-    sizes = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n_chars")).distinct()
-    return (
-        copies.join(partners, "rep", "left").join(covered, "rep", "left").where("n > 1 or n_partners is not null").join(sizes, "id")
-        .select(
-            F.col("id").alias("doc_id"), F.col("rep").alias("text_class"), (F.col("n") - 1).alias("n_copies"), F.coalesce("n_partners", F.lit(0)).alias("n_partners"),
-            F.when(F.col("n") > 1, F.col("n_chars")).otherwise(F.col("covered")).alias("shared_chars"), "n_chars",
-        )
-    )
+    sizes = docs.select(F.col("doc_id").alias("id"), "n_chars")
+    rows = shared_cover(docs, "doc_id", "text").join(sizes, "id")
+    return rows.select(F.col("id").alias("doc_id"), F.col("rep").alias("text_class"), F.col("passages").alias("passage_class"), "n_copies", "most_sharers", "shared_chars", "n_chars")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
