@@ -40,3 +40,26 @@ def test_seeds_beyond_the_carried_bound(spark, monkeypatch):
 def test_documents_outside_ascii_are_searched(spark):
     item = "раз два три четыре пять шесть семь восемь девять десять"
     assert _run(spark, [(1, f"ну {item.upper()}"), (2, "— !")], [(10, item)]) == {(1, 10): 10}
+
+
+def test_edited_copies_are_found_by_their_score(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    items = [(i, [word() for _ in range(24)]) for i in range(40)]
+    docs = []
+    for i, ws in items:
+        edited = list(ws)
+        for at in range(rng.randrange(4), len(ws), 4):  # no five words in a row stay
+            edited[at] = word()
+        docs.append((i, " ".join([word() for _ in range(60)] + edited + [word() for _ in range(60)])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+
+    def found(**kw):
+        rows = find_leaks(d, "doc_id", "text", t, "item_id", "text", **kw).where("share >= 0.6").collect()
+        assert all(r["doc"] == r["item"] and 60 <= r["first_word"] <= r["last_word"] <= 85 for r in rows)
+        return len({r["item"] for r in rows})
+
+    assert found(seed=3, must=5) >= 0.95 * len(items) and found() == 0

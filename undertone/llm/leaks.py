@@ -46,7 +46,11 @@ def gram_hashes(ws: list[str], n: int) -> np.ndarray:
     return out
 
 
-def align(item: list[str], doc: list[str], match: float = 2.0, mismatch: float = -1.0, gap: float = -1.0) -> tuple[float, int, int, int]:
+#: Score of two equal words.
+MATCH = 2.0
+
+
+def align(item: list[str], doc: list[str], match: float = MATCH, mismatch: float = -1.0, gap: float = -1.0) -> tuple[float, int, int, int]:
     """Smith-Waterman over words: ``(score, doc_start, doc_end, longest run of equal words)``.
 
     Row by row over the item; gaps along the document by a running maximum, so
@@ -123,26 +127,30 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last, dw = doc, words(dt)
             iw = words(it)
             score, a, b, longest = align(iw, dw)
-            rows.append((doc, item, score, score / (2.0 * len(iw)), a, b, longest, len(iw)))
+            rows.append((doc, item, score, score / (MATCH * len(iw)), a, b, longest, len(iw)))
         cols = list(zip(*rows)) if rows else [[]] * 8
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()] + [pa.int64()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=_SCORED.names)
 
 
-def _rare_seeds(item: int, grams: list[tuple[int, int | None]], window: int) -> list[int]:
-    """The rarest gram of each run of ``window`` consecutive grams; all grams of shorter items."""
-    if len(grams) <= window:
-        return [g for g, _ in grams]
-    return list({min(grams[i : i + window], key=lambda x: (x[1] or 0, x[0]))[0] for i in range(len(grams) - window + 1)})
+def _rare_seeds(grams: list[tuple[int, int | None]], window: int) -> list[int]:
+    """The rarest gram that occurs in the corpus of each run of ``window`` consecutive grams, or of all there are."""
+    chosen = set()
+    for i in range(max(1, len(grams) - window + 1)):
+        held = [(n, g) for g, n in grams[i : i + window] if n]
+        if held:
+            chosen.add(min(held)[1])
+    return sorted(chosen)
 
 
 def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, seed: int = 5, must: int = 8) -> DataFrame:
     """Candidate leaks with their alignment: one row per document and item that share a rare seed.
 
     Seeds are n-grams of ``seed`` folded words. Within every ``must`` consecutive
-    words of an item, the n-gram that fewest documents contain is its seed, so a
+    words of an item, the n-gram that fewest documents, but one at least, contain is its seed, so a
     document with ``must`` consecutive item words always has a seed, while
-    phrases common in the corpus bring no candidates. Document frequencies count
+    phrases common in the corpus bring no candidates. Shorter seeds and a smaller
+    ``must`` reach copies that are edited more densely. Document frequencies count
     all documents. Each candidate is aligned over whole texts; columns are
     ``doc, item, score, share`` of the best possible score, the aligned words of
     the document, the ``longest_run`` of consecutive equal words, ``item_words``.
@@ -179,7 +187,7 @@ def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
         for batch in batches:
             ids, out = [], []
             for i, gs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for g in _rare_seeds(i, [(x["gram"], x["docs"]) for x in sorted(gs, key=lambda x: x["pos"])], window):
+                for g in _rare_seeds([(x["gram"], x["docs"]) for x in sorted(gs, key=lambda x: x["pos"])], window):
                     ids.append(i)
                     out.append(g)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], names=["item", "gram"])
@@ -190,4 +198,7 @@ def find_leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str
     )
     pairs = scratch.save(seen.join(chosen, "gram").select("doc", "item").distinct())
     texts = corpus.join(pairs.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc", "text"])
-    return texts.join(pairs, "doc").join(tests, "item").select("doc", "item", "text", "item_text").mapInArrow(_score, _SCORED)
+    both = texts.join(pairs, "doc").join(tests, "item").select("doc", "item", "text", "item_text")
+    # Alignment costs far more than its bytes suggest, so the rows are spread over all cores whatever their size.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return both.repartition(tasks, "doc").sortWithinPartitions("doc").mapInArrow(_score, _SCORED)

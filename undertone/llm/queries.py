@@ -11,7 +11,7 @@ from undertone.durable import Scratch
 from undertone.llm.clusters import group_similar
 from undertone.llm.components import hash_to_min
 from undertone.llm.fusion import discover_truth
-from undertone.llm.leaks import find_leaks
+from undertone.llm.leaks import MATCH, find_leaks
 from undertone.llm.mixing import mix_sources
 from undertone.llm.neighbours import nearest_vectors
 from undertone.llm.quantiles import merge, percentiles, summarise
@@ -23,14 +23,19 @@ FIELDS = ["isrc", "album_release_date", "popularity", "album_image_url", "durati
 
 
 def _members(spark: SparkSession, root: str) -> DataFrame:
-    """Members of the reported groups with what ranks them and the fields they offer."""
+    """Members of the reported groups with what ranks them, the source of their record and the fields they offer.
+
+    A source is where the track's newest extraction came from, and whether the record is cached.
+    """
     groups = table(spark, root, "duplicate_clusters").select("cluster_key", F.explode("members").alias("track_id")).where(F.col("track_id").isNotNull()).distinct()
+    taken = table(spark, root, "track_features").where(F.col("spotify_track_id").isNotNull()).groupBy(F.col("spotify_track_id").alias("track_id"))
+    origin = taken.agg(F.max_by("extraction_source", F.struct("extracted_at", "extraction_source")).alias("origin"))
     cached = table(spark, root, "dedup_records").groupBy("track_id").agg(F.coalesce(F.max("is_cached"), F.lit(False)).alias("is_cached"))
     meta = table(spark, root, "track_meta").select(F.col("spotify_track_id").alias("track_id"), *FIELDS)
     return (
-        groups.join(cached, "track_id", "left").join(meta, "track_id", "left")
+        groups.join(cached, "track_id", "left").join(meta, "track_id", "left").join(origin, "track_id", "left")
         .withColumn("is_cached", F.coalesce("is_cached", F.lit(False)))
-        .withColumn("source", F.when(F.col("is_cached"), "cached").otherwise("listed"))
+        .withColumn("source", F.concat_ws("/", F.coalesce("origin", F.lit("not extracted")), F.when(F.col("is_cached"), "cached").otherwise("listed")))
         .withColumn("record", F.col("track_id"))
     )
 
@@ -38,7 +43,9 @@ def _members(spark: SparkSession, root: str) -> DataFrame:
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Surviving record and source of each field per reported group.
 
-    Grades: cached first, then the longer duration with unknown last, then the smaller id.
+    Grades: cached first, then the longer duration with unknown last, then the
+    smaller id. They are a total order, so grade settles every field and the votes
+    decide none; ``p1_voted`` is where they do.
     """
     trust = [F.when(F.col("is_cached"), 0).otherwise(1), F.col("duration_ms").isNull(), -F.col("duration_ms").cast("decimal(20,0)"), F.col("track_id")]
     truths, _ = discover_truth(_members(spark, root), "cluster_key", "track_id", "source", ["record", *FIELDS], trust)
@@ -153,18 +160,26 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return hash_to_min(links, "track_id_a", "track_id_b").select(F.col("vertex").alias("track_id"), F.col("component").alias("group_id"))
 
 
-def _leaks(spark: SparkSession, root: str) -> DataFrame:
-    return find_leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text")
+def _leaks(spark: SparkSession, root: str, **kw) -> DataFrame:
+    return find_leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "text", **kw)
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    """Documents with at least 8 consecutive words of an evaluation item."""
-    return _leaks(spark, root).where("longest_run >= 8").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+    """Documents with at least 8 consecutive words of an evaluation item.
+
+    Eight equal words in a row score 8 matches or more, so the alignment score
+    selects the rows; the exact check for a gapless run follows.
+    """
+    aligned = _leaks(spark, root, must=8).where(F.col("score") >= 8 * MATCH)
+    return aligned.where("longest_run >= 8").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
 
 def p8_scores(spark: SparkSession, root: str) -> DataFrame:
-    """Leaks with their alignment, paraphrased and edited copies included (half the best score or more)."""
-    found = _leaks(spark, root).where("longest_run >= 8 or share >= 0.5")
+    """Leaks with their alignment, paraphrased and edited copies included (0.6 of the best score or more, or 8 words in a row).
+
+    Seeds of 3 words, one in every 5, reach copies whose edits leave no longer run.
+    """
+    found = _leaks(spark, root, seed=3, must=5).where("longest_run >= 8 or share >= 0.6")
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "score", F.round("share", 4).alias("share"), "first_word", "last_word", "longest_run", "item_words")
 
 
