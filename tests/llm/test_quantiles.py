@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from undertone.llm.quantiles import DEPTH, compress, decode, encode, merge, percentiles, quantile, summarise
+from undertone.llm.quantiles import DEPTH, compress, decode, encode, merge, pack, percentiles, quantile, summarise, unpack
 
 RNG = np.random.default_rng(2)
 CASES = {
@@ -40,6 +40,27 @@ def test_rank_error_of_merged_digests(name):
         assert _off(CASES[name], q, got) <= 0.005 * len(CASES[name]) + 1
 
 
+def test_packed_digests_are_lossless():
+    for nodes, counts in (([1], [1]), ([5, 6, 1 << 32, (1 << 33) - 1], [1, 300, 1 << 40, 1]), (range(10, 400), [1] * 390), ([7, 9], [2, 2])):
+        a, b = unpack(pack(np.array(nodes, np.uint64), np.array(counts, np.int64)))
+        assert a.tolist() == list(nodes) and b.tolist() == list(counts)
+
+
+def test_days_summarised_apart_keep_the_bound(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    import undertone.llm.quantiles as m
+
+    monkeypatch.setattr(m, "FAN_IN", 3)
+    monkeypatch.setattr(m, "BUFFER", 500)
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.normal(size=30_000), np.full(5000, 0.25), rng.lognormal(size=15_000)])
+    df = spark.createDataFrame([(f"d{i % 40}", float(v)) for i, v in enumerate(values)], "day string, x double").repartition(10)
+    days = merge(summarise(df, "day", ["x"], 0.05), 0.05, df.rdd.getNumPartitions())
+    rows = percentiles(merge(days.withColumn("key", F.lit("all")), 0.05), [0.01, 0.1, 0.5, 0.9, 0.99]).collect()
+    assert all(r["n"] == len(values) and _off(values, r["share"], r["value"]) <= 0.05 * len(values) + 1 for r in rows) and len(rows) == 5
+
+
 def test_spark_digests(spark):
     rows = [("a", float(x), None) for x in range(4000)] + [(None, 1.0, 2.0), (None, float("nan"), float("inf")), ("b", None, None)]
     df = spark.createDataFrame(rows, "key string, x double, y double").repartition(70)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,9 @@ from pyspark.sql import types as T
 DEPTH = 32
 #: Values buffered per digest before it is compressed again.
 BUFFER = 1 << 17
-#: Partial digests that one merge task reads.
-FAN_IN = 32
+#: Partial digests of a key and field that one merge task reads; it holds BUFFER nodes at most, however many there are.
+FAN_IN = 1024
+_HEAD = struct.Struct("<IQBB")
 
 
 def encode(values: np.ndarray) -> np.ndarray:
@@ -85,6 +87,28 @@ def compress(nodes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     return out, total
 
 
+def pack(nodes: np.ndarray, counts: np.ndarray) -> bytes:
+    """A digest as bytes: gaps of the sorted nodes and counts less one, byte plane by byte plane without the empty ones."""
+    out, widths = [], []
+    for v in (np.diff(nodes).astype(np.uint64), (counts - 1).astype(np.uint64)):
+        width = (int(v.max()).bit_length() + 7) // 8 if len(v) else 0
+        widths.append(width)
+        out.append(np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+    return _HEAD.pack(len(nodes), int(nodes[0]), *widths) + out[0] + out[1]
+
+
+def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and counts of a packed digest."""
+    n, first, *widths = _HEAD.unpack_from(body)
+    at, parts = _HEAD.size, []
+    for m, width in zip((n - 1, n), widths):
+        wide = np.zeros((m, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(body, np.uint8, m * width, at).reshape(width, m).T
+        parts.append(wide.view(np.uint64).ravel())
+        at += m * width
+    return np.cumsum(np.concatenate([np.array([first], np.uint64), parts[0]])).astype(np.uint64), parts[1].astype(np.int64) + 1
+
+
 def quantile(nodes: np.ndarray, counts: np.ndarray, shares: list[float]) -> list[float]:
     """Values at the given shares: nodes in order of their last leaf, small ranges first."""
     depth = np.floor(np.log2(nodes.astype(np.float64))).astype(np.uint64)
@@ -159,91 +183,72 @@ def _summarise(fields: list[str], k: int):
                 values = batch.column(1 + f).fill_null(float("nan")).to_numpy(zero_copy_only=False)
                 good = np.isfinite(values)
                 own.add(codes[good], values[good])
-        names = pa.array(list(numbers), pa.string())
+        names = list(numbers)
         for f, own in enumerate(partial):
             own.flush()
-            for at in range(0, len(own.codes), 1 << 18):
-                codes, counts = own.codes[at : at + (1 << 18)], own.counts[at : at + (1 << 18)]
-                n = len(codes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        names.take(pa.array((codes >> np.uint64(DEPTH + 1)).astype(np.int64))),
-                        pa.array([fields[f]] * n, pa.string()),
-                        pa.array((codes & np.uint64((1 << (DEPTH + 1)) - 1)).astype(np.int64)),
-                        pa.array(counts),
-                        pa.array(np.full(n, part, np.int32)),
-                    ],
-                    names=["key", "field", "node", "n", "part"],
-                )
+            keys = own.codes >> np.uint64(DEPTH + 1)
+            starts = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
+            ends = np.append(starts[1:], len(keys))
+            nodes = own.codes & np.uint64((1 << (DEPTH + 1)) - 1)
+            yield from _digest_rows((names[int(keys[a])], fields[f], part, nodes[a:b], own.counts[a:b]) for a, b in zip(starts, ends))
 
     return run
 
 
-def _squeeze_sorted(k: int):
-    """Compress digests whose rows arrive sorted by group; light groups pass as they are."""
+def _digest_rows(digests: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of packed digests from ``(key, field, part, nodes, counts)``."""
+    rows: list[tuple] = []
+    size = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        held_key = None
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.binary()))], names=DIGEST.names)
 
-        def closed() -> Iterator[pa.RecordBatch]:
-            if held:
-                nodes = np.concatenate([b.column(2).to_numpy() for b in held]).astype(np.uint64)
-                nodes, counts = compress(nodes, np.concatenate([b.column(3).to_numpy() for b in held]), k)
-                yield _digest_rows(held_key, nodes, counts)
+    for key, field, part, nodes, counts in digests:
+        body = pack(nodes, counts)
+        rows.append((key, field, part, body))
+        size += len(body)
+        if size > 1 << 22 or len(rows) >= 5000:
+            yield batch()
+            rows, size = [], 0
+    if rows:
+        yield batch()
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            change = np.zeros(batch.num_rows, bool)
-            change[0] = True
-            for c in (0, 1, 4):
-                ids = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                change[1:] |= ids[1:] != ids[:-1]
-            starts = np.flatnonzero(change)
-            ends = np.concatenate([starts[1:], [batch.num_rows]])
-            sums = np.add.reduceat(batch.column(3).to_numpy(), starts)
-            light = sums < k
-            light[-1] = False
-            first = _key_of(batch, 0)
-            if held and first == held_key:
-                light[0] = False
-            elif held:
-                yield from closed()
-                held = []
-            if light.any():
-                some = batch.filter(pa.array(np.repeat(light, ends - starts)))
-                yield pa.RecordBatch.from_arrays(some.columns, names=DIGEST.names)
-            for g in np.flatnonzero(~light):
-                part = batch.slice(starts[g], ends[g] - starts[g])
-                key = _key_of(batch, int(starts[g]))
-                if held and key != held_key:
-                    yield from closed()
-                    held = []
-                held.append(part)
-                held_key = key
-        yield from closed()
 
-    return run
+def _combine(k: int):
+    """Add up digests whose rows arrive sorted by group."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merged() -> Iterator[tuple]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            now, waiting = None, 0
+            for batch in batches:
+                for *key, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    if key != now:
+                        if held:
+                            yield *now, *_added(held, k)
+                        now, held, waiting = key, [], 0
+                    held.append(unpack(body))
+                    waiting += len(held[-1][0])
+                    if waiting > BUFFER and len(held) > 1:
+                        held = [_added(held, k)]
+                        waiting = 0
+            if held:
+                yield *now, *_added(held, k)
 
-def _key_of(batch: pa.RecordBatch, row: int) -> tuple:
-    return tuple(batch.column(c)[row].as_py() for c in (0, 1, 4))
+        yield from _digest_rows(merged())
+
+    return run
 
 
-def _digest_rows(key: tuple, nodes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    n = len(nodes)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.string()), pa.array(nodes.astype(np.int64)), pa.array(counts), pa.array(np.full(n, key[2], np.int32))],
-        names=["key", "field", "node", "n", "part"],
-    )
+def _added(digests: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    return compress(np.concatenate([n for n, _ in digests]), np.concatenate([c for _, c in digests]), k)
 
 
-DIGEST = T.StructType([T.StructField("key", T.StringType()), T.StructField("field", T.StringType()), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("part", T.IntegerType())])
+DIGEST = T.StructType([T.StructField("key", T.StringType()), T.StructField("field", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("body", T.BinaryType())])
 
 
 def summarise(df: DataFrame, key: str, fields: list[str], rank_error: float = 0.005) -> DataFrame:
-    """Digests as rows ``(key, field, node, n, part)``, one digest per partition, key and field.
+    """Packed digests ``(key, field, part, body)``, one per partition, key and field.
 
     ``df`` has the string column ``key`` and double columns ``fields``. Null, NaN
     and infinite values are not counted; a null key is a group of its own. A
@@ -264,12 +269,10 @@ def merge(digests: DataFrame, rank_error: float = 0.005, parts: int | None = Non
     adds up at most FAN_IN digests, whose sizes are bounded, before the last step.
     """
     k = _k(rank_error)
-
     group = ["key", "field", "part"]
 
     def added(rows: DataFrame) -> DataFrame:
-        rows = rows.groupBy(*group, "node").agg(F.sum("n").alias("n")).select(*DIGEST.names)
-        return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_squeeze_sorted(k), DIGEST)
+        return rows.select(*DIGEST.names).repartition(*group).sortWithinPartitions(*group).mapInArrow(_combine(k), DIGEST)
 
     out, left = digests, parts or 1
     while left > FAN_IN:
@@ -280,13 +283,14 @@ def merge(digests: DataFrame, rank_error: float = 0.005, parts: int | None = Non
 
 def percentiles(digests: DataFrame, shares: list[float]) -> DataFrame:
     """Values at ``shares`` of merged digests: ``(key, field, n, share, value)``."""
-    schema = "key string, field string, n long, share double, value double"
-
-    def read(pdf):
-        import pandas as pd
 
-        counts = pdf["n"].to_numpy()
-        values = quantile(pdf["node"].to_numpy().astype(np.uint64), counts, shares)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]] * len(shares), "field": pdf["field"].iloc[0], "n": int(counts.sum()), "share": shares, "value": values})
-
-    return digests.groupBy("key", "field").applyInPandas(read, schema)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, field, _, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                nodes, counts = unpack(body)
+                rows += [(key, field, int(counts.sum()), q, v) for q, v in zip(shares, quantile(nodes, counts, shares))]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], names=["key", "field", "n", "share", "value"])
+
+    return digests.mapInArrow(read, "key string, field string, n long, share double, value double")
