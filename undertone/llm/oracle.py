@@ -30,5 +30,21 @@ select track_id, min(seen) as group_id from walk group by 1
 """
 
 
+_PERCEPTUAL = ["tempo", "key", "mode", "duration_sec", "loudness_db", "time_signature", "energy", "danceability", "acousticness", "speechiness", "brightness", "punch", "dynamics", "valence_proxy"]
+
+
+def _number(key: str) -> str:
+    text = f"trim(json_extract_string(features, '$.{key}'))"
+    return f"case when json_valid(features) and regexp_matches({text}, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') and isfinite(try_cast({text} as double)) then try_cast({text} as double) end as {key}"
+
+
+_COUNTED = f"""
+with p as (select version, {", ".join(_number(c) for c in _PERCEPTUAL)} from track_perceptual),
+l as (unpivot p on {", ".join(_PERCEPTUAL)} into name feature value x),
+c as (select version, feature, count(*) as n from l group by 1, 2)
+select version, feature, share, n, true as within from c, unnest([0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]::double[]) s(share)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _RANKED, "p7_found": _COMPONENTS}
+    return {"p1_found": _RANKED, "p4_verified": _COUNTED, "p7_found": _COMPONENTS}

@@ -79,12 +79,17 @@ def _number(col: Column) -> Column:
     return F.when(F.abs(value) <= 1.7976931348623157e308, value)
 
 
+def _json_numbers(rows: DataFrame, col: str, names: list[str], *keep: str) -> DataFrame:
+    """The named numbers of a JSON object as doubles, from one parse of it, beside the columns ``keep``."""
+    texts = rows.select(*keep, F.json_tuple(col, *names).alias(*[f"_{c}" for c in names]))
+    return texts.select(*keep, *[_number(F.col(f"_{c}")).alias(c) for c in names])
+
+
 def _acoustic(spark: SparkSession, root: str) -> DataFrame:
     """Tracks whose latest features row is complete, with the 13 values scaled to mean 0 and population spread 1."""
-    schema = ", ".join(f"{c} string" for c in ACOUSTIC)
     rows = table(spark, root, "track_features").where(F.col("spotify_track_id").isNotNull())
     latest = rows.groupBy(F.col("spotify_track_id").alias("id")).agg(F.max_by("features", F.struct("extracted_at", "features")).alias("features"))
-    parsed = latest.select("id", F.from_json("features", schema).alias("f")).select("id", *[_number(F.col(f"f.{c}")).alias(c) for c in ACOUSTIC])
+    parsed = _json_numbers(latest, "features", ACOUSTIC, "id")
     whole = Scratch(spark, "acoustic").save(parsed.dropna().where("tempo_bpm > 0"))
     spread = whole.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(ACOUSTIC)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(ACOUSTIC)]).first()
     scaled = [(F.col(c) - F.lit(spread[f"m{i}"])) / F.lit(spread[f"s{i}"] or 1.0) for i, c in enumerate(ACOUSTIC)]
@@ -129,9 +134,7 @@ SHARES = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
 
 def _perceptual(spark: SparkSession, root: str) -> DataFrame:
     """The 14 numbers as doubles; a quoted number is a number, anything else is null."""
-    schema = ", ".join(f"{c} string" for c in PERCEPTUAL)
-    rows = table(spark, root, "track_perceptual").select("version", "computed_at", F.from_json("features", schema).alias("f"))
-    return rows.select("version", "computed_at", *[_number(F.col(f"f.{c}")).alias(c) for c in PERCEPTUAL])
+    return _json_numbers(table(spark, root, "track_perceptual"), "features", PERCEPTUAL, "version", "computed_at")
 
 
 def p4_daily(spark: SparkSession, root: str) -> DataFrame:
@@ -139,9 +142,8 @@ def p4_daily(spark: SparkSession, root: str) -> DataFrame:
     tag = F.when(F.col("version").isNull(), "0").otherwise(F.concat(F.lit("1"), "version"))
     rows = _perceptual(spark, root).withColumn("day", F.concat(F.coalesce(F.date_format("computed_at", "yyyy-MM-dd"), F.lit("?")), F.lit("|"), tag))
     days = merge(summarise(rows, "day", PERCEPTUAL, 0.01), 0.01, rows.rdd.getNumPartitions())
-    spread = F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(1024)).cast("int")
     tag = F.element_at(F.split("key", r"\|", 2), -1)
-    whole = merge(days.withColumn("part", spread).withColumn("key", F.when(tag != "0", F.substring(tag, 2, 1 << 30))), 0.01, 1024)
+    whole = merge(days.withColumn("key", F.when(tag != "0", F.substring(tag, 2, 1 << 30))), 0.01)
     out = percentiles(whole, SHARES)
     return out.select(F.col("key").alias("version"), F.col("field").alias("feature"), "n", "share", "value", F.ceil(F.col("n") * 0.01).alias("rank_error"))
 
@@ -154,6 +156,24 @@ def p4_percentiles(spark: SparkSession, root: str) -> DataFrame:
     return out.select(F.col("key").alias("version"), F.col("field").alias("feature"), "n", "share", "value", F.ceil(F.col("n") * 0.005).alias("rank_error"))
 
 
+def p4_verified(spark: SparkSession, root: str) -> DataFrame:
+    """Whether every value of ``p4_percentiles`` lies within its stated rank error, by counting all values."""
+    points = p4_percentiles(spark, root).groupBy("version", "feature").agg(F.sort_array(F.collect_list(F.struct("share", "value", "n", "rank_error"))).alias("points"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in PERCEPTUAL])
+    values = _perceptual(spark, root).select(F.col("version").alias("v"), F.inline(pairs)).where("x is not null")
+    both = values.join(points.withColumnRenamed("feature", "f"), (F.col("feature") == F.col("f")) & F.col("v").eqNullSafe(F.col("version")))
+    counts = []
+    for i in range(len(SHARES)):
+        at = F.col("points")[i]["value"]
+        slack = F.abs(at) * 2e-6
+        counts.append(F.struct(F.count_if(F.col("x") < at - slack).alias("below"), F.count_if(F.col("x") <= at + slack).alias("upto")))
+    seen = both.groupBy("version", "feature").agg(F.first("points").alias("points"), F.array(*counts).alias("counts"))
+    rows = seen.select("version", "feature", F.inline(F.arrays_zip("points", "counts"))).select("version", "feature", "points.*", "counts.*")
+    wanted = F.col("share") * F.col("n")
+    within = (F.col("below") <= wanted + F.col("rank_error")) & (F.col("upto") >= wanted - F.col("rank_error"))
+    return rows.select("version", "feature", "share", "n", within.alias("within"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Group of every record linked by accepted matches; the smallest id names the group."""
     links = table(spark, root, "match_pairs").where("accepted and track_id_a <> track_id_b").select("track_id_a", "track_id_b")
