@@ -39,7 +39,9 @@ def test_nearest_and_labels(spark):
     assert got == want
     rows = spark.createDataFrame([(0, 1.0), (0, 1.1), (1, 9.0), (1, 9.1), (2, 5.0)], "c int, tempo double")
     labels = {r["c"]: r["label"] for r in models.label_clusters(rows, "c", {"tempo": ("fast", "slow")}).collect()}
-    assert labels == {0: "slow", 1: "fast", 2: "Mixed"}
+    assert labels == {0: "slow", 1: "fast", 2: "slow"}
+    flat = spark.createDataFrame([(0, 3.0), (1, 3.0)], "c int, tempo double")
+    assert {r["label"] for r in models.label_clusters(flat, "c", {"tempo": ("fast", "slow")}).collect()} == {"Mixed"}
 
 
 def _brute(ids, x, seeds, k):

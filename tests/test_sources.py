@@ -39,7 +39,10 @@ def test_resample_matches_interpolation(spark):
 
 def test_fades_and_sections(spark):
     r = _one(spark, [-40.0, -30.0, -10.0, -9.0, -9.0, -10.0, -9.0, -40.0, -40.0, -40.0], curves.fade_bounds)
-    assert (r["intro"], r["outro"]) == (0.2, 0.3)
+    assert (r["intro"], r["outro"]) == (2 / 9, 6 / 9)
+    r = _one(spark, [-16.0, -15.0, -9.0, -9.0, -9.0, -9.0, -40.0], curves.fade_bounds)
+    assert r["intro"] is None and r["outro"] == 5 / 6
+    assert _one(spark, [-40.0, -9.0, -9.0, -9.0], curves.fade_bounds) is None
     text = json.dumps([{"start": 0, "end": 9.5, "label": 0}, {"start": 9.5, "end": 10.0, "label": 1}, {"start": 10, "end": 20, "label": 0}])
     df = spark.createDataFrame([(text,), ("nope",), (json.dumps([{"start": 0, "end": 2}] * 61),), (None,)], "s string").select(curves.sections(F.col("s")).alias("x"))
     assert [[s["section_index"] for s in r["x"] or []] for r in df.collect()] == [[0, 2], [], [], []]

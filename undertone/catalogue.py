@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from undertone.plans import aggregates, drift, entities, joins, learned, packed, ranked, reports, scalars, scans  # noqa: F401
+from undertone.plans import aggregates, drift, entities, fixtures, gate, joins, learned, packed, pages, ranked, reports, scalars, scans  # noqa: F401
 from undertone.plans.registry import QUERIES, SQL
 
 

@@ -34,12 +34,26 @@ def nearest_rank(curve: Column, share: float) -> Column:
     return F.get(c, F.floor((F.size(c) - 1) * share).cast("int"))
 
 
-def fade_bounds(curve: Column, reach_db: float = 8.0) -> Column:
-    """``struct<intro, outro>``: shares of the track before and after it is within ``reach_db`` of its 80th percentile."""
+# A fade ends within 8 dB of the sustained level, starts 20 dB below it and takes 4 % of the track.
+FADE_REACH_DB, FADE_DEPTH_DB, FADE_SHARE = 8.0, 20.0, 0.04
+
+
+def fade_bounds(curve: Column) -> Column:
+    """``struct<intro, outro>``: where a fade from silence ends and a fade to silence starts, as shares of the track.
+
+    The sustained level is the 80th percentile by nearest rank. A side is null
+    without a fade there, both are for curves of fewer than 5 values.
+    """
     c = finite(curve)
-    loud = F.transform(c, lambda x: x >= nearest_rank(curve, 0.8) - reach_db)
-    first, last = F.array_position(loud, True) - 1, F.array_position(F.reverse(loud), True) - 1
-    return F.when(F.size(c) >= 5, F.struct((first / F.size(c)).alias("intro"), (last / F.size(c)).alias("outro")))
+    n, full = F.size(c), nearest_rank(curve, 0.8)
+    loud = F.transform(c, lambda x: x >= full - FADE_REACH_DB)
+    last = n - 1
+    intro = (F.array_position(loud, True) - 1) / last
+    outro = (n - F.array_position(F.reverse(loud), True)) / last
+    deep = full - FADE_DEPTH_DB
+    start = F.when((F.get(c, F.lit(0)) <= deep) & (intro >= FADE_SHARE), intro)
+    end = F.when((F.get(c, last) <= deep) & (1 - outro >= FADE_SHARE), outro)
+    return F.when(n >= 5, F.struct(start.alias("intro"), end.alias("outro")))
 
 
 def _profiles() -> Column:
@@ -72,5 +86,5 @@ def sections(text: Column, most: int = 60, shortest: float = 1.0) -> Column:
     """Sections of a JSON list with their place in it; lists that are too long give none, short sections go."""
     kind = "array<struct<start:double,end:double,label:int,tempo_bpm:double,loudness_db:double,key:int,mode:string>>"
     rows = F.coalesce(F.from_json(text, kind), F.array().cast(kind))
-    placed = F.transform(rows, lambda s, i: F.struct(i.alias("section_index"), s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["loudness_db"].alias("loudness_db"), s["key"].alias("key"), s["mode"].alias("mode")))
+    placed = F.transform(rows, lambda s, i: F.struct(i.alias("section_index"), s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), s["tempo_bpm"].alias("tempo_bpm"), s["loudness_db"].alias("loudness_db"), s["key"].alias("key"), s["mode"].alias("mode")))
     return F.filter(F.when(F.size(rows) <= most, placed), lambda s: s["end"] - s["start"] >= shortest)

@@ -119,6 +119,8 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
         labels = fresh
         if not seen.get["n"]:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return labels.select(F.col("v").alias("vertex"), F.col("c").alias("component"))
 
 

@@ -95,14 +95,14 @@ def popularity_forest(df: DataFrame, target: str, features: list[str], seed: int
 
 
 def label_clusters(df: DataFrame, cluster: str, columns: dict[str, tuple[str, str]], top: int = 2) -> DataFrame:
-    """Name of each cluster from its most unusual columns: ``columns`` gives the words for high and low."""
+    """Name of each cluster from its most unusual columns, ties to the later word: ``columns`` gives the words for high and low."""
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns])
     means = df.groupBy(cluster).agg(*[F.avg(c).alias(c) for c in columns]).join(F.broadcast(stats), F.lit(True))
     parts = []
     for c, (high, low) in columns.items():
         z = F.when(F.col(f"s_{c}") > 0, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}"))
-        parts.append(F.struct(F.abs(z).alias("z"), F.when(z >= 0, high).otherwise(low).alias("word")))
-    told = F.filter(F.array(*parts), lambda p: p["z"] >= 0.3)
+        parts.append(F.struct(F.round(F.abs(z), 9).alias("z"), F.when(z > 0, high).otherwise(low).alias("word")))
+    told = F.filter(F.array(*parts), lambda p: p["z"].isNotNull())
     words = F.transform(F.slice(F.reverse(F.array_sort(told)), 1, top), lambda p: p["word"])
     return means.select(cluster, F.when(F.size(words) == 0, "Mixed").otherwise(F.array_join(words, " · ")).alias("label"))
 

@@ -92,41 +92,71 @@ def genre_strip(spark: SparkSession, root: str) -> DataFrame:
     return tok.groupBy("genre").agg(F.count("*").alias("n_artists")).orderBy(F.desc("n_artists"), "genre").limit(15)
 
 
-# Ordered genre rules, first match wins.
+# Ordered genre rules, the first whose keywords occur in any genre wins.
 BUCKETS = [
-    ("hip-hop", "Hip-Hop"), ("r&b", "R&B"), ("soul", "R&B"), ("funk", "Funk"), ("jazz", "Jazz"), ("bop", "Jazz"), ("metal", "Metal"), ("punk", "Punk"), ("techno", "Electronic"), ("house", "Electronic"),
-    ("garage", "Electronic"), ("wave", "Electronic"), ("dub", "Electronic"), ("folk", "Folk"), ("country", "Country"), ("pop", "Pop"), ("rock", "Rock"),
+    ("Metal", ("metal", "metalcore", "djent")),
+    ("Punk & Emo", ("punk", "emo", "screamo", "hardcore", "grunge")),
+    ("Folk", ("folk", "acoustic", "singer-songwriter", "americana")),
+    ("Classical", ("classical", "opera", "orchestra", "baroque")),
+    ("Jazz", ("jazz", "bossa nova", "swing")),
+    ("Blues", ("blues",)),
+    ("Hip-Hop", ("hip hop", "hip-hop", "rap", "trap", "drill")),
+    ("Electronic", ("electronic", "edm", "house", "techno", "dubstep", "synthwave", "drum and bass", "dance", "electro")),
+    ("R&B & Funk", ("r&b", "rnb", "soul", "funk", "motown")),
+    ("Country", ("country", "bluegrass")),
+    ("Latin", ("latin", "reggaeton", "salsa", "bachata")),
+    ("Indie & Alt", ("indie", "alternative", "britpop", "madchester", "new wave", "garage", "shoegaze", "lo-fi", "post-")),
+    ("Pop", ("pop", "synthpop")),
+    ("Rock", ("rock", "rock and roll")),
 ]
-_BUCKET_SQL = "case when genres is null or trim(genres) = '' then 'Unknown' " + " ".join(f"when lower(genres) like '%{k}%' then '{v}'" for k, v in BUCKETS) + " else 'Other' end"
+_BUCKET_SQL = (
+    "case when genres is null or len(list_filter(list_transform(string_split(genres, ','), lambda x: trim(x)), lambda x: x <> '')) = 0 then 'Unknown' "
+    + " ".join("when " + " or ".join(f"contains(lower(genres), '{k}')" for k in keys) + f" then '{name}'" for name, keys in BUCKETS) + " else 'Other' end"
+)
 
 
 @query(f"with {ARTIST_SQL} select {_BUCKET_SQL} as bucket, count(*) as n_artists, cast(sum(followers) as bigint) as followers from artists group by 1")
 def genre_buckets(spark: SparkSession, root: str) -> DataFrame:
+    """Artists by coarse genre; no keyword holds a comma, so the whole field is searched at once."""
     g = F.lower("genres")
-    bucket = F.when(F.col("genres").isNull() | (F.trim("genres") == ""), "Unknown")
-    for key, name in BUCKETS:
-        bucket = bucket.when(F.contains(g, F.lit(key)), name)
+    tags = F.filter(F.transform(F.split("genres", ","), lambda x: F.trim(x)), lambda x: x != "")
+    bucket = F.when(F.col("genres").isNull() | (F.size(tags) == 0), "Unknown")
+    for name, keys in BUCKETS:
+        bucket = bucket.when(F.exists(F.array(*[F.lit(k) for k in keys]), lambda k: F.contains(g, k)), name)
     return artists(spark, root).groupBy(bucket.otherwise("Other").alias("bucket")).agg(F.count("*").alias("n_artists"), F.sum("followers").alias("followers"))
 
 
-_DRIFT_ARTIST_SQL = f"""with {PERC_SQL}, albums as (select primary_artist_id as artist_id, lower(album_name) as album, min({YEAR_SQL}) as y, avg(energy) as e
-  from track_meta m join perc p on p.id = m.spotify_track_id where primary_artist_id is not null and album_name is not null and energy is not null group by 1, 2),
- d as (select artist_id, count(*) as n_albums, regr_slope(e, y) as slope, max(y) - min(y) as span, max(e) - min(e) as reach from albums where y is not null group by 1 having count(*) >= 3)"""
+_DRIFT_ARTIST_SQL = f"""with {FEATS_SQL}, albums as (select primary_artist_id as artist_id, lower(album_name) as album, min({YEAR_SQL}) as y, avg(20 * log10(greatest(rms_mean, 1e-9))) as e
+  from track_meta m join feats f on f.id = m.spotify_track_id where primary_artist_id is not null and album_name is not null and rms_mean is not null group by 1, 2),
+ d as (select artist_id, count(*) as n_albums, coalesce(regr_slope(e, y), 0) as slope, min(y) as y0, max(y) as y1, min(e) as low, max(e) as high, arg_min(e, (y, album)) as first, arg_max(e, (y, album)) as last
+   from albums where y is not null group by 1 having count(*) >= 3),
+ s as (select *, case when high > low then high - low else 1 end as reach from d)"""
 
 
 @query(
-    f"{_DRIFT_ARTIST_SQL} select artist_id, n_albums, case when span > 0 then round(slope, 9) end as slope, case when slope is null or span = 0 then 'flat' when abs(slope * span) < 0.2 * reach then 'flat' when slope > 0 then 'rising' else 'falling' end as direction from d"
+    f"""{_DRIFT_ARTIST_SQL} select artist_id, n_albums, round(slope, 5) as slope_per_year, round(last - first, 4) as delta, case when abs(slope * (y1 - y0)) < 0.2 * reach then 'flat' when slope > 0 then 'up' else 'down' end as direction,
+  case when (high > greatest(first, last) or low < least(first, last)) and abs(last - first) < 0.5 * reach then 'arc' else 'trend' end as shape from s"""
 )
 def artist_drift(spark: SparkSession, root: str) -> DataFrame:
-    """Least-squares trend of album energy over the years for artists with three albums or more."""
-    p = perc(spark, root).select(F.col("id").alias("spotify_track_id"), "energy").where("energy is not null")
+    """Least-squares trend of the measured level of an artist's albums over the years, three albums or more.
+
+    The level is in dBFS from the extraction, not a rank. A trend is flat under a
+    fifth of the artist's own range; an arc peaks inside and ends near its start.
+    """
+    level = 20 * F.log10(F.greatest(F.col("rms_mean"), F.lit(1e-9)))
+    f = feats(spark, root).where("rms_mean is not null").select(F.col("id").alias("spotify_track_id"), level.alias("level"))
     meta = table(spark, root, "track_meta").where("primary_artist_id is not null and album_name is not null")
-    albums = meta.join(p, "spotify_track_id").groupBy(F.col("primary_artist_id").alias("artist_id"), F.lower("album_name").alias("album")).agg(F.min(year_of("album_release_date")).alias("y"), F.avg("energy").alias("e"))
+    albums = meta.join(f, "spotify_track_id").groupBy(F.col("primary_artist_id").alias("artist_id"), F.lower("album_name").alias("album")).agg(F.min(year_of("album_release_date")).alias("y"), F.avg("level").alias("e"))
+    when = F.struct("y", "album")
     d = albums.where("y is not null").groupBy("artist_id").agg(
-        F.count("*").alias("n_albums"), F.regr_slope("e", F.col("y").cast("double")).alias("slope"), (F.max("y") - F.min("y")).alias("span"), (F.max("e") - F.min("e")).alias("reach")
+        F.count("*").alias("n_albums"), F.coalesce(F.regr_slope("e", F.col("y").cast("double")), F.lit(0.0)).alias("slope"), (F.max("y") - F.min("y")).alias("span"),
+        F.min("e").alias("low"), F.max("e").alias("high"), F.min_by("e", when).alias("first"), F.max_by("e", when).alias("last"),
     ).where("n_albums >= 3")
-    move = F.abs(F.col("slope") * F.col("span"))
-    return d.select("artist_id", "n_albums", F.when(F.col("span") > 0, F.round("slope", 9)).alias("slope"), F.when(F.col("slope").isNull() | (F.col("span") == 0), "flat").when(move < 0.2 * F.col("reach"), "flat").when(F.col("slope") > 0, "rising").otherwise("falling").alias("direction"))
+    reach = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
+    delta = F.col("last") - F.col("first")
+    inside = (F.col("high") > F.greatest("first", "last")) | (F.col("low") < F.least("first", "last"))
+    way = F.when(F.abs(F.col("slope") * F.col("span")) < 0.2 * reach, "flat").when(F.col("slope") > 0, "up").otherwise("down")
+    return d.select("artist_id", "n_albums", F.round("slope", 5).alias("slope_per_year"), F.round(delta, 4).alias("delta"), way.alias("direction"), F.when(inside & (F.abs(delta) < 0.5 * reach), "arc").otherwise("trend").alias("shape"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from undertone.functions.numbers import number
-from undertone.operators.ranking import keep_latest
+from undertone.operators.ranking import keep_latest, running_total
 from undertone.tables import table
 
 # Feature names of the catalogue.
@@ -15,6 +15,8 @@ SIMILARITY = [
     "onset_strength_mean", "mfcc_mean_0", "mfcc_mean_1", "mfcc_mean_2", "mfcc_mean_3", "mfcc_mean_4",
 ]
 FEATURES = [*SIMILARITY, "onset_strength_std", "beats_per_sec", "duration_sec", "estimated_key"]
+#: Columns of the axes that an extraction may lack altogether.
+EXTRA = ["spectral_flatness_mean", "rms_std"]
 PERCEPTUAL = ["tempo", "key", "mode", "duration_sec", "loudness_db", "time_signature", "energy", "danceability", "acousticness", "speechiness", "brightness", "punch", "dynamics", "valence_proxy"]
 WINDOWS = [("short_term", 28, 1), ("medium_term", 180, 2), ("long_term", 1095, 3)]
 
@@ -27,7 +29,7 @@ def _json_number(key: str, col: str = "features") -> str:
 
 
 FEATS_SQL = f"""feats as (
-  select spotify_track_id as id, {", ".join(_json_number(c) for c in FEATURES)},
+  select spotify_track_id as id, {", ".join(_json_number(c) for c in [*FEATURES, *EXTRA])},
     case when json_valid(features) then json_extract_string(features, '$.estimated_mode') end as estimated_mode,
     dsp_version, extraction_source, match_confidence, extracted_at
   from (select * from track_features where spotify_track_id is not null
@@ -63,26 +65,27 @@ def is_seed(ident: str):
     return F.conv(F.substring(F.md5(F.col(ident).cast("binary")), 1, 8), 16, 10).cast("long") % 50 == 0
 
 
+def json_numbers(rows: DataFrame, numbers: list[str], texts: list[str], keep: list[str], col: str = "features") -> DataFrame:
+    """Fields of a JSON object, numbers as doubles, from one parse of it, beside the columns ``keep``."""
+    names = [*numbers, *texts]
+    flat = rows.select(*keep, F.json_tuple(col, *names).alias(*[f"_{c}" for c in names]))
+    return flat.select(*keep, *[number(F.col(f"_{c}")).alias(c) for c in numbers], *[F.col(f"_{c}").alias(c) for c in texts])
+
+
 def feats(spark: SparkSession, root: str) -> DataFrame:
     """Newest extraction of every track, the named JSON numbers as columns."""
     latest = keep_latest(
         table(spark, root, "track_features").where("spotify_track_id is not null"), ["spotify_track_id"], [F.desc_nulls_last("extracted_at"), F.desc_nulls_last("features")]
     )
-    schema = ", ".join(f"{c} string" for c in [*FEATURES, "estimated_mode"])
-    return latest.withColumn("f", F.from_json("features", schema)).select(
-        F.col("spotify_track_id").alias("id"), *[number(F.col(f"f.{c}")).alias(c) for c in FEATURES],
-        F.col("f.estimated_mode").alias("estimated_mode"), "dsp_version", "extraction_source", "match_confidence", "extracted_at",
-    )
+    keep = ["dsp_version", "extraction_source", "match_confidence", "extracted_at"]
+    return json_numbers(latest.withColumnRenamed("spotify_track_id", "id"), [*FEATURES, *EXTRA], ["estimated_mode"], ["id", *keep])
 
 
 def perc(spark: SparkSession, root: str) -> DataFrame:
     """Newest perceptual row of every track."""
     order = [F.desc_nulls_last(c) for c in ("computed_at", "landed_at", "version", "features")]
     latest = keep_latest(table(spark, root, "track_perceptual").where("spotify_track_id is not null"), ["spotify_track_id"], order)
-    schema = ", ".join(f"{c} string" for c in PERCEPTUAL)
-    return latest.withColumn("f", F.from_json("features", schema)).select(
-        F.col("spotify_track_id").alias("id"), *[number(F.col(f"f.{c}")).alias(c) for c in PERCEPTUAL], "version", "computed_at"
-    )
+    return json_numbers(latest.withColumnRenamed("spotify_track_id", "id"), PERCEPTUAL, [], ["id", "version", "computed_at"])
 
 
 def windows(spark: SparkSession) -> DataFrame:
@@ -90,16 +93,19 @@ def windows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(WINDOWS, "time_range string, days int, range_order int")
 
 
-def listen(spark: SparkSession, root: str) -> DataFrame:
-    """Tracks per listening window, ranked by how often they are written about."""
-    from pyspark.sql import Window
+def ranked_listen(spark: SparkSession, root: str) -> DataFrame:
+    """``listen`` with the rank of each track in its window, by range partitions of the plays."""
+    rows = listen(spark, root).withColumn("place", F.struct((-F.col("plays")).alias("p"), "id")).withColumn("one", F.lit(1))
+    return running_total(rows, ["time_range"], "place", "one").withColumn("rank", (F.col("_below") + 1).cast("long")).drop("place", "one", "_below", "_all")
+
 
+def listen(spark: SparkSession, root: str) -> DataFrame:
+    """Tracks per listening window with how often they are written about."""
     plays = table(spark, root, "documents").where("spotify_track_id is not null").select(F.col("spotify_track_id").alias("id"), "created_at")
     last = plays.agg(F.max("created_at").alias("last"))
     inside = F.array(*[F.when(F.col("created_at") > F.col("last") - F.expr(f"interval {d} days"), F.struct(F.lit(n).alias("time_range"), F.lit(o).alias("range_order"))) for n, d, o in WINDOWS])
     spread = plays.join(F.broadcast(last), F.lit(True)).select("id", F.inline(F.filter(inside, lambda w: w.isNotNull())))
-    counts = spread.groupBy("time_range", "range_order", "id").agg(F.count("*").alias("plays"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("time_range").orderBy(F.desc("plays"), "id")).cast("long"))
+    return spread.groupBy("time_range", "range_order", "id").agg(F.count("*").alias("plays"))
 
 
 def twins(spark: SparkSession, root: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from undertone.operators.aggregates import banded, centroids, sigma_shift, unpivot
 from undertone.operators.ranking import top_per_group
-from undertone.plans.base import FEATS_SQL, FEATURES, LISTEN_SQL, SIMILARITY, feats, listen
+from undertone.plans.base import FEATS_SQL, FEATURES, LISTEN_SQL, SIMILARITY, feats, listen, ranked_listen
 from undertone.plans.registry import query
 from undertone.tables import table
 
@@ -18,14 +18,15 @@ FACT_SQL = f"""with {LISTEN_SQL}, {FEATS_SQL},
 fact as (select l.time_range, l.range_order, l.id, l.rank, l.plays, {", ".join("f." + c for c in DRIFT)} from listen l left join feats f on f.id = l.id)"""
 
 
-def fact(spark: SparkSession, root: str) -> DataFrame:
-    """Fact at the grain (track, window): features stay null where never extracted."""
-    return listen(spark, root).join(feats(spark, root).select("id", *DRIFT), "id", "left")
+def fact(spark: SparkSession, root: str, ranked: bool = False) -> DataFrame:
+    """Fact at the grain (track, window): features stay null where never extracted; ranks only where asked for."""
+    return (ranked_listen if ranked else listen)(spark, root).join(feats(spark, root).select("id", *DRIFT), "id", "left")
 
 
 @query(f"{FACT_SQL} select time_range, id, rank, round(tempo_bpm, 9) as tempo_bpm, round(rms_mean, 9) as rms_mean from fact")
 def fact_listening(spark: SparkSession, root: str) -> DataFrame:
-    return fact(spark, root).select("time_range", "id", "rank", F.round("tempo_bpm", 9).alias("tempo_bpm"), F.round("rms_mean", 9).alias("rms_mean"))
+    rows = ranked_listen(spark, root).join(feats(spark, root).select("id", "tempo_bpm", "rms_mean"), "id", "left")
+    return rows.select("time_range", "id", "rank", F.round("tempo_bpm", 9).alias("tempo_bpm"), F.round("rms_mean", 9).alias("rms_mean"))
 
 
 @query(
@@ -126,7 +127,7 @@ def corpus_counts(spark: SparkSession, root: str) -> DataFrame:
     f"{FACT_SQL}, t as (select id, count(distinct time_range) as n_ranges, avg(rank) as avg_rank from fact group by 1) select n_ranges, count(*) as n_tracks, round(min(avg_rank), 9) as best_avg_rank from t group by 1"
 )
 def persistence(spark: SparkSession, root: str) -> DataFrame:
-    t = fact(spark, root).groupBy("id").agg(F.count_distinct("time_range").alias("n_ranges"), F.avg("rank").alias("avg_rank"))
+    t = fact(spark, root, ranked=True).groupBy("id").agg(F.count_distinct("time_range").alias("n_ranges"), F.avg("rank").alias("avg_rank"))
     return t.groupBy("n_ranges").agg(F.count("*").alias("n_tracks"), F.round(F.min("avg_rank"), 9).alias("best_avg_rank"))
 
 
@@ -134,7 +135,7 @@ def persistence(spark: SparkSession, root: str) -> DataFrame:
     f"{FACT_SQL}, t as (select id, count(distinct time_range) as n_ranges, avg(rank) as avg_rank from fact group by 1) select id, round(avg_rank, 9) as avg_rank from t where n_ranges = 3 order by t.avg_rank, id limit 5"
 )
 def persistent_top(spark: SparkSession, root: str) -> DataFrame:
-    t = fact(spark, root).groupBy("id").agg(F.count_distinct("time_range").alias("n_ranges"), F.avg("rank").alias("avg_rank"))
+    t = fact(spark, root, ranked=True).groupBy("id").agg(F.count_distinct("time_range").alias("n_ranges"), F.avg("rank").alias("avg_rank"))
     return t.where("n_ranges = 3").orderBy("avg_rank", "id").limit(5).select("id", F.round("avg_rank", 9).alias("avg_rank"))
 
 
@@ -154,7 +155,7 @@ def superlatives(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"{FACT_SQL} select time_range, rank, id from fact where rank <= 10")
 def top_by_window(spark: SparkSession, root: str) -> DataFrame:
-    return top_per_group(listen(spark, root).drop("rank"), ["time_range"], [F.desc("plays"), F.col("id")], 10).select("time_range", F.col("rank").cast("long").alias("rank"), "id")
+    return top_per_group(listen(spark, root), ["time_range"], [F.desc("plays"), F.col("id")], 10).select("time_range", F.col("rank").cast("long").alias("rank"), "id")
 
 
 @query(f"{FACT_SQL} select time_range, round(avg(tempo_bpm), 9) as tempo, round(avg(rms_mean), 9) as rms, count(*) as n from fact group by 1")
@@ -173,25 +174,38 @@ def cluster_composition(spark: SparkSession, root: str) -> DataFrame:
     return _composition(spark, root)
 
 
-def _composition(spark: SparkSession, root: str) -> DataFrame:
-    from pyspark.sql import Window
-
+def _labelled(spark: SparkSession, root: str) -> DataFrame:
+    """Listened tracks with their cluster under the newest model."""
     clusters = table(spark, root, "track_clusters")
     newest = clusters.agg(F.max("model_id").alias("m"))
     labels = clusters.where("cluster_id is not null").join(F.broadcast(newest), F.col("model_id") == F.col("m")).groupBy(F.col("spotify_track_id").alias("id")).agg(F.min("cluster_id").alias("cluster_id"))
-    n = listen(spark, root).join(labels, "id").groupBy("time_range", "cluster_id").agg(F.count("*").alias("n_tracks"))
+    return listen(spark, root).join(labels, "id")
+
+
+def _composition(spark: SparkSession, root: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = _labelled(spark, root).groupBy("time_range", "cluster_id").agg(F.count("*").alias("n_tracks"))
     return n.withColumn("share", F.round(F.col("n_tracks") / F.sum("n_tracks").over(Window.partitionBy("time_range")), 9))
 
 
 @query(
-    f"""{_COMPOSE_SQL}, s as (select time_range, cluster_id, n_tracks / sum(n_tracks) over (partition by time_range) as share from n),
-  r as (select time_range, max(share) as top, sum(case when k <= 2 then share end) as two, count(*) as k from
-    (select *, row_number() over (partition by time_range order by share desc, cluster_id) as k from s) group by 1)
-  select time_range, case when top >= 0.7 or k = 1 then 'Loyalist' when two >= 0.85 then 'Dualist' else 'Eclectic' end as archetype from r"""
+    f"""{_SHIFT_SQL}, mx as (select max(model_id) as m from track_clusters), lab as (select spotify_track_id as id, min(cluster_id) as cluster_id from track_clusters, mx where model_id = m and cluster_id is not null group by 1),
+  c as (select cluster_id, count(*) as n from listen join lab using (id) group by 1), k as (select *, row_number() over (order by n desc, cluster_id) as k, sum(n) over () as whole from c),
+  r as (select max(cluster_id) filter (where k = 1) as home, max(n) filter (where k = 1) / max(whole) as top, sum(n) filter (where k <= 2) / max(whole) as two, count(*) as sounds from k),
+  d as (select shift from pairs where range_a = 'short_term' and range_b = 'long_term')
+  select home, round(top, 6) as share, case when top >= 0.7 or sounds = 1 then 'Loyalist' when two >= 0.85 then 'Dualist' else 'Eclectic' end as breadth,
+  case when shift < 0.15 then 'Anchored' when shift < 0.35 then 'Drifting' when shift < 0.6 then 'Roaming' when shift is not null then 'Shape-shifting' end as motion from r left join d on true"""
 )
 def archetype(spark: SparkSession, root: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    ranked = _composition(spark, root).withColumn("k", F.row_number().over(Window.partitionBy("time_range").orderBy(F.desc("share"), "cluster_id")))
-    r = ranked.groupBy("time_range").agg(F.max("share").alias("top"), F.sum(F.when(F.col("k") <= 2, F.col("share"))).alias("two"), F.count("*").alias("k"))
-    return r.select("time_range", F.when((F.col("top") >= 0.7) | (F.col("k") == 1), "Loyalist").when(F.col("two") >= 0.85, "Dualist").otherwise("Eclectic").alias("archetype"))
+    """Breadth of the listening over the sounds of all windows, its home, and how far it moved from all-time to recent."""
+    c = _labelled(spark, root).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    # One row per cluster of a trained model.
+    ordered = c.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("lack"), "cluster_id"))).alias("c"), F.sum("n").alias("whole")).where(F.size("c") > 0)
+    share = [-F.get("c", F.lit(i))["lack"] / F.col("whole") for i in (0, 1)]
+    top, two = share[0], share[0] + F.coalesce(share[1], F.lit(0.0))
+    r = ordered.select(F.col("c")[0]["cluster_id"].alias("home"), top.alias("top"), two.alias("two"), F.size("c").alias("sounds"))
+    moved = sigma_shift(fact(spark, root), "time_range", DRIFT).where("group_a = 'short_term' and group_b = 'long_term'").select("shift")
+    motion = F.when(F.col("shift").isNotNull(), banded(F.col("shift"), [(0.15, "Anchored"), (0.35, "Drifting"), (0.60, "Roaming")], "Shape-shifting"))
+    breadth = F.when((F.col("top") >= 0.7) | (F.col("sounds") == 1), "Loyalist").when(F.col("two") >= 0.85, "Dualist").otherwise("Eclectic")
+    return r.join(F.broadcast(moved), F.lit(True), "left").select("home", F.round("top", 6).alias("share"), breadth.alias("breadth"), motion.alias("motion"))
\ No newline at end of file

@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 
 from undertone.functions.vectors import cosine
 from undertone.operators import entities as ops
+from undertone.operators.ranking import keep_latest
 from undertone.plans.registry import query
 from undertone.tables import table
 
-RECORDS_SQL = """rec as (select track_id as id, min(title) as title, min(artist) as artist, min(duration_ms) as duration_ms, any_value(vector) as vector, bool_or(coalesce(is_cached, false)) as cached, min(primary_artist_id) as artist_id
-  from dedup_records where track_id is not null group by 1)"""
+RECORDS_SQL = """rec as (select track_id as id, title, artist, duration_ms, vector, coalesce(is_cached, false) as cached, primary_artist_id as artist_id from dedup_records where track_id is not null
+  qualify row_number() over (partition by track_id order by title nulls first, artist nulls first, duration_ms nulls first, is_cached nulls first, primary_artist_id nulls first) = 1)"""
 COMP_SQL = """e as (select track_id_a as a, track_id_b as b from match_pairs where accepted and track_id_a <> track_id_b union select track_id_b, track_id_a from match_pairs where accepted and track_id_a <> track_id_b),
 walk(id, seen) as (select a, a from e union select e.a, w.seen from e join walk w on w.id = e.b), comp as (select id, min(seen) as component from walk group by 1)"""
 
 
 def records(spark: SparkSession, root: str) -> DataFrame:
-    """Dedup records, exact repeats folded."""
+    """Dedup records, one whole row per id: the first by its columns, nulls first."""
     rows = table(spark, root, "dedup_records").where("track_id is not null")
-    return rows.groupBy(F.col("track_id").alias("id")).agg(
-        F.min("title").alias("title"), F.min("artist").alias("artist"), F.min("duration_ms").alias("duration_ms"), F.first("vector", ignorenulls=True).alias("vector"),
-        F.max(F.coalesce("is_cached", F.lit(False))).alias("cached"), F.min("primary_artist_id").alias("artist_id"),
-    )
+    first = keep_latest(rows, ["track_id"], [F.asc_nulls_first(c) for c in ("title", "artist", "duration_ms", "is_cached", "primary_artist_id", "vector")])
+    return first.select(F.col("track_id").alias("id"), "title", "artist", "duration_ms", "vector", F.coalesce("is_cached", F.lit(False)).alias("cached"), F.col("primary_artist_id").alias("artist_id"))
 
 
 def _links(spark: SparkSession, root: str) -> DataFrame:
@@ -135,9 +134,9 @@ def twin_collapse(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    """with m as (select cluster_key, list_sort(list_distinct(members)) as ids from duplicate_clusters) select cluster_key, len(ids) as n_members, ids[1] as first_member, list_contains(ids, 'x') as has_x from m"""
+    """with m as (select cluster_key, canonical_id, list_sort(list_distinct(members)) as ids from duplicate_clusters) select cluster_key, len(ids) as n_members, ids[1] as first_member, list_contains(ids, canonical_id) as has_canonical from m"""
 )
 def cluster_members(spark: SparkSession, root: str) -> DataFrame:
     """Distinct members of the reported groups."""
     ids = F.array_sort(F.array_distinct("members"))
-    return table(spark, root, "duplicate_clusters").select("cluster_key", F.size(ids).cast("long").alias("n_members"), ids[0].alias("first_member"), F.array_contains(ids, "x").alias("has_x"))
+    return table(spark, root, "duplicate_clusters").select("cluster_key", F.size(ids).cast("long").alias("n_members"), ids[0].alias("first_member"), F.array_contains(ids, F.col("canonical_id")).alias("has_canonical"))

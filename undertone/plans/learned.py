@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from undertone.durable import Scratch
 from undertone.operators import models
-from undertone.plans.base import SIMILARITY, feats, is_seed, perc
+from undertone.plans.base import FEATS_SQL, SIMILARITY, feats, is_seed, perc
 from undertone.plans.registry import query
 from undertone.streaming.events import drain, read_events, windowed_counts
 from undertone.tables import table
@@ -56,11 +56,23 @@ def popularity_model(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(round(mae, 4), round(r2, 4), n)], "mae double, r2 double, n long")
 
 
-@query()
+# Words of the columns that name a cluster.
+WORDS = {
+    "rms_mean": ("Loud", "Quiet"), "tempo_bpm": ("Fast", "Slow"), "harmonic_ratio": ("Harmonic", "Percussive"), "spectral_centroid_mean": ("Bright", "Dark"),
+    "zcr_mean": ("Noisy", "Smooth"), "onset_strength_mean": ("Punchy", "Gentle"),
+}
+
+
+@query(
+    f"""with {FEATS_SQL}, mx as (select max(model_id) as m from track_clusters), lab as (select spotify_track_id as id, min(cluster_id) as cluster_id from track_clusters, mx where model_id = m and cluster_id is not null group by 1),
+  f as (select * from feats join lab using (id)), st as (select {", ".join(f"avg({c}) as m_{c}, stddev_samp({c}) as s_{c}" for c in WORDS)} from f), g as (select cluster_id, {", ".join(f"avg({c}) as {c}" for c in WORDS)} from f group by 1),
+  l as ({" union all ".join(f"select cluster_id, round(abs(({c} - m_{c}) / s_{c}), 9) as z, case when {c} > m_{c} then '{hi}' else '{lo}' end as word from g, st where s_{c} > 0 and {c} is not null" for c, (hi, lo) in WORDS.items())}),
+  k as (select *, row_number() over (partition by cluster_id order by z desc, word desc) as k from l), n as (select cluster_id, string_agg(word, ' · ' order by k) as label from k where k <= 2 group by 1)
+  select g.cluster_id, coalesce(n.label, 'Mixed') as label from g left join n using (cluster_id)"""
+)
 def cluster_labels(spark: SparkSession, root: str) -> DataFrame:
     """Words for the clusters of the newest model."""
     clusters = table(spark, root, "track_clusters").where("cluster_id is not null")
     newest = table(spark, root, "track_clusters").agg(F.max("model_id").alias("m"))
     lab = clusters.join(F.broadcast(newest), F.col("model_id") == F.col("m")).groupBy(F.col("spotify_track_id").alias("id")).agg(F.min("cluster_id").alias("cluster_id"))
-    words = {"tempo": ("fast", "slow"), "energy": ("energetic", "calm"), "danceability": ("danceable", "free"), "acousticness": ("acoustic", "electronic"), "brightness": ("bright", "dark"), "dynamics": ("dynamic", "even")}
-    return models.label_clusters(perc(spark, root).where("abs(tempo) < 1e6").join(lab, "id"), "cluster_id", words)
+    return models.label_clusters(feats(spark, root).select("id", *WORDS).join(lab, "id"), "cluster_id", WORDS)

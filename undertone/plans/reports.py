@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from undertone.plans.base import LISTEN_SQL, TWINS_SQL, WINDOWS, canonical, listen, windows
-from undertone.plans.entities import RECORDS_SQL, records
 from undertone.plans.joins import ARTIST_SQL, artists
 from undertone.plans.registry import query
 from undertone.tables import table
 
-# Words that speak for and against a candidate, and marks of copies.
-GOOD_WORDS, BAD_WORDS = ["remaster", "official", "audio"], ["live", "karaoke", "cover", "remix", "slowed", "sped up"]
-COPY_MARKS = ["karaoke", "tribute", "cover version", "instrumental", "made famous", "in the style of"]
-
-
 @query("select * from (values " + ", ".join(f"('{n}', {d}, {o})" for n, d, o in WINDOWS) + ") w(time_range, days, range_order)")
 def time_windows(spark: SparkSession, root: str) -> DataFrame:
     """Dimension of the nominal windows."""
@@ -45,55 +37,6 @@ def upper_median(spark: SparkSession, root: str) -> DataFrame:
     return upto.where((F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)).select("album_type", F.col("duration_ms").alias("upper_median"))
 
 
-@query("select event_id, user_id from events order by event_type <> 'view', ts, event_id limit 20")
-def queue_head(spark: SparkSession, root: str) -> DataFrame:
-    """The next 20 of a queue: running ones first, then by age."""
-    return table(spark, root, "events").orderBy(F.col("event_type") != "view", "ts", "event_id").limit(20).select("event_id", "user_id")
-
-
-@query("select user_id, count(*) filter (where event_type = 'error') as attempts from events group by 1 having count(*) filter (where event_type = 'error') between 1 and 2")
-def retryable(spark: SparkSession, root: str) -> DataFrame:
-    """Keys that failed, but not three times."""
-    return table(spark, root, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("attempts")).where("attempts between 1 and 2")
-
-
-_SCORE_SQL = " + ".join([f"case when contains(t, '{w}') then 10 else 0 end" for w in GOOD_WORDS] + [f"case when contains(t, '{w}') then -15 else 0 end" for w in BAD_WORDS])
-
-
-@query(
-    f"""with {RECORDS_SQL}, d as (select r.id, lower(coalesce(r.title, '')) as t, abs(r.duration_ms - m.duration_ms) / 1000.0 as gap from rec r join track_meta m on m.spotify_track_id = r.id),
-  s as (select id, {_SCORE_SQL} + case when gap is null then 0 when gap <= 3 then 25 when gap <= 10 then 12 when gap <= 30 then 0 when gap <= 60 then -10 else -30 end as score from d)
-  select id, cast(score as integer) as score, round(greatest(0, least(1, (score + 30) / 65.0)), 6) as confidence from s"""
-)
-def match_scores(spark: SparkSession, root: str) -> DataFrame:
-    """Candidates scored by words of their title and bands of duration difference."""
-    m = table(spark, root, "track_meta").select(F.col("spotify_track_id").alias("id"), F.col("duration_ms").alias("want"))
-    d = records(spark, root).join(m, "id").select("id", F.lower(F.coalesce("title", F.lit(""))).alias("t"), (F.abs(F.col("duration_ms") - F.col("want")) / 1000.0).alias("gap"))
-    words = [F.when(F.contains("t", F.lit(w)), points).otherwise(0) for ws, points in ((GOOD_WORDS, 10), (BAD_WORDS, -15)) for w in ws]
-    g = F.col("gap")
-    band = F.when(g.isNull(), 0).when(g <= 3, 25).when(g <= 10, 12).when(g <= 30, 0).when(g <= 60, -10).otherwise(-30)
-    score = reduce(lambda a, b: a + b, words) + band
-    return d.select("id", score.alias("score")).select("id", "score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") + 30) / 65.0)), 6).alias("confidence"))
-
-
-@query("select track_id as id, max(" + " or ".join(f"contains(lower(coalesce(title, '')), '{w}')" for w in COPY_MARKS) + ") as copy from dedup_records where track_id is not null group by 1")
-def reproductions(spark: SparkSession, root: str) -> DataFrame:
-    """Records whose title marks a reproduction."""
-    t = F.lower(F.coalesce("title", F.lit("")))
-    mark = F.exists(F.array(*[F.lit(w) for w in COPY_MARKS]), lambda w: F.contains(t, w))
-    return table(spark, root, "dedup_records").where("track_id is not null").groupBy(F.col("track_id").alias("id")).agg(F.max(mark).alias("copy"))
-
-
-@query(
-    """select case when extraction_source = 'upload' then 'owner' when match_confidence is null then 'review' when match_confidence >= 0.8 then 'verified' when match_confidence >= 0.6 then 'title_present' else 'review' end as tier,
-  count(*) as n, count(distinct spotify_track_id) as n_tracks from track_features group by 1"""
-)
-def provenance_tiers(spark: SparkSession, root: str) -> DataFrame:
-    c = F.col("match_confidence")
-    tier = F.when(F.col("extraction_source") == "upload", "owner").when(c.isNull(), "review").when(c >= 0.8, "verified").when(c >= 0.6, "title_present").otherwise("review")
-    return table(spark, root, "track_features").groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.count_distinct("spotify_track_id").alias("n_tracks"))
-
-
 @query(
     f"""with {TWINS_SQL}, mx as (select max(model_id) as m from track_clusters), got as (select distinct spotify_track_id as id from track_clusters, mx where model_id = m and cluster_id is not null),
   n as (select (select count(*) from canonical) as population, (select count(*) from canonical where id in (select id from got where id is not null)) as assigned)
@@ -129,22 +72,6 @@ def image_hosts(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy(F.regexp_extract("album_image_url", "^https?://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n"), F.count_distinct("album_id").alias("n_albums"))
 
 
-@query("select kind, grouping(kind) as total, count(*) as n, count(*) filter (where text like '%?') as passed from eval_items group by rollup (kind)")
-def eval_summary(spark: SparkSession, root: str) -> DataFrame:
-    """Passed and all cases by kind, with the overall row."""
-    return table(spark, root, "eval_items").rollup("kind").agg(F.grouping("kind").cast("long").alias("total"), F.count("*").alias("n"), F.count_if(F.col("text").like("%?")).alias("passed"))
-
-
-@query(
-    f"""with {ARTIST_SQL} select d.source, count(*) as n, count(*) filter (where contains(lower(d.text), lower(a.artist_name))) as cites from documents d join artists a on a.artist_id = d.artist_id where a.artist_name is not null and d.text is not null group by 1"""
-)
-def citation_check(spark: SparkSession, root: str) -> DataFrame:
-    """Documents that name the artist they are filed under."""
-    a = artists(spark, root).where("artist_name is not null").select("artist_id", "artist_name")
-    rows = table(spark, root, "documents").where("text is not null").select("artist_id", "source", "text").join(a, "artist_id")
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.contains(F.lower("text"), F.lower("artist_name"))).alias("cites"))
-
-
 @query(
     f"""with {LISTEN_SQL}, {ARTIST_SQL}, t as (select l.time_range, a.artist_id, lower(trim(g)) as genre from listen l join track_meta m on m.spotify_track_id = l.id join artists a on a.artist_id = m.primary_artist_id, unnest(string_split(a.genres, ',')) u(g) where trim(g) <> '')
   select time_range, count(distinct genre) as n_genres, count(distinct artist_id) as n_artists, count(*) as n from t group by 1"""

@@ -62,13 +62,6 @@ def genre_filter(spark: SparkSession, root: str) -> DataFrame:
     return artists(spark, root).where(F.array_contains(F.transform(F.split("genres", ","), lambda x: F.lower(F.trim(x))), "folk")).select("artist_id")
 
 
-@query("select event_id, user_id from events where not (event_type = 'error' and (value is null or value <= 25))")
-def real_turns(spark: SparkSession, root: str) -> DataFrame:
-    """Log rows that are no synthetic turns, newest first elsewhere; null types stay."""
-    synthetic = F.coalesce((F.col("event_type") == "error") & (F.col("value").isNull() | (F.col("value") <= 25)), F.lit(False))
-    return table(spark, root, "events").where(~synthetic).select("event_id", "user_id")
-
-
 @query(
     "select user_id, arg_max(event_type, (ts, event_id)) as state, count(*) as n_events, count(*) filter (where event_type = 'error') as attempts, count(*) filter (where event_type = 'error') >= 3 as dead from events group by 1"
 )

@@ -28,15 +28,18 @@ def union_mixed(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    """with old as (select spotify_track_id, tempo_bpm, extracted_at from track_features where extracted_at < timestamp '2025-10-01'), new as (select spotify_track_id, max(tempo_bpm) as tempo_bpm, max(extracted_at) as extracted_at from track_features where extracted_at >= timestamp '2025-10-01' group by 1)
-  select * from old where spotify_track_id not in (select spotify_track_id from new where spotify_track_id is not null) union all select * from new"""
+    """with r as (select spotify_track_id, tempo_bpm, rms_mean, extraction_source, extracted_at, extracted_at >= timestamp '2025-10-01' as fresh from track_features)
+  select spotify_track_id, tempo_bpm, rms_mean, extraction_source, extracted_at from r where spotify_track_id is not null
+  qualify row_number() over (partition by spotify_track_id order by coalesce(fresh, false) desc, extracted_at desc nulls last, tempo_bpm desc nulls last, rms_mean desc nulls last, extraction_source desc nulls last) = 1"""
 )
 def upsert_features(spark: SparkSession, root: str) -> DataFrame:
-    """A newer batch replaces the rows of its keys."""
-    rows = table(spark, root, "track_features").select("spotify_track_id", "tempo_bpm", "extracted_at")
+    """A newer batch replaces the rows of its keys; of several rows of a key the last one is kept whole."""
     cut = F.lit("2025-10-01").cast("timestamp_ntz")
-    new = rows.where(F.col("extracted_at") >= cut).groupBy("spotify_track_id").agg(F.max("tempo_bpm").alias("tempo_bpm"), F.max("extracted_at").alias("extracted_at"))
-    return landing.upsert(rows.where(F.col("extracted_at") < cut), new, "spotify_track_id")
+    cols = ["spotify_track_id", "tempo_bpm", "rms_mean", "extraction_source", "extracted_at"]
+    rows = table(spark, root, "track_features").where("spotify_track_id is not null").select(*cols)
+    fresh = F.coalesce(F.col("extracted_at") >= cut, F.lit(False))
+    order = [F.desc_nulls_last(c) for c in ("extracted_at", "tempo_bpm", "rms_mean", "extraction_source")]
+    return landing.upsert(rows.where(~fresh), rows.where(fresh), "spotify_track_id", order)
 
 
 @query(

@@ -49,9 +49,20 @@ def cleansed(df: DataFrame, keys: list[str]) -> DataFrame:
     return keep_latest(df, keys, order).select(*plain)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` replace rows of ``old`` with the same key; later rows of ``new`` are not ordered."""
-    return union_by_name([old.join(new.select(key), key, "left_anti"), new])
+def upsert(old: DataFrame, new: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """Rows of ``new`` replace rows of ``old`` with the same key.
+
+    With ``order``, one whole row per key is kept, the first in that order of the
+    newer batch. A missing key column is an error; null keys are left out.
+    """
+    for df in (old, new):
+        if key not in df.columns:
+            raise ValueError(f"no column {key}")
+    both = union_by_name([old.withColumn("_batch", F.lit(0)), new.withColumn("_batch", F.lit(1))]).where(F.col(key).isNotNull())
+    if order is None:
+        fresh = new.select(key).distinct().withColumn("_fresh", F.lit(True))
+        return both.join(fresh, key, "left").where((F.col("_batch") == 1) | F.col("_fresh").isNull()).drop("_batch", "_fresh")
+    return keep_latest(both, [key], [F.desc("_batch"), *order]).drop("_batch")
 
 
 def present(col: str, text: bool) -> Column:
