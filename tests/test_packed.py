@@ -30,3 +30,9 @@ def test_split_packed(spark):
     assert sorted(out["6"]) == [(1, "Läle & Sosu"), (2, "Z")]
     assert split_packed(df.limit(0), "id", "names", known, "name").count() == 0
     assert split_packed(df, "id", "names", known.limit(0), "name").where("record_id = '1'").count() == 3
+
+
+def test_known_values_of_other_fields_do_not_count():
+    cutter = Segmenter(["Rain, Steel & Co", "Kite, Zed"])
+    assert cutter.split("Kite, Zed, Ono", ["Rain, Steel & Co"]) == ["Kite", "Zed", "Ono"]
+    assert cutter.split("Kite, Zed, Ono", ["kite, zed"]) == cutter.split("Kite, Zed, Ono") == ["Kite, Zed", "Ono"]

@@ -98,21 +98,23 @@ class Segmenter:
         for value in known:
             if value:
                 key = fold(value)
-                self._automaton.add_word(key, len(key))
+                self._automaton.add_word(key, key)
                 self._any = True
         if self._any:
             self._automaton.make_automaton()
 
-    def _protected(self, text: str) -> list[tuple[int, int]]:
-        """Stretches that are whole values: quoted ones and known ones between cuts."""
+    def _protected(self, text: str, own: set[str] | None) -> list[tuple[int, int]]:
+        """Stretches that are whole values: quoted ones and known ones, of ``own`` if given, between cuts."""
         spans = _quoted(text)
         if self._any:
             folded = fold(text)
             edges = [(m.start(), m.end()) for m in _CUT.finditer(text)]
             starts = {0} | {e for _, e in edges}
             ends = {len(text)} | {s for s, _ in edges}
-            for end, size in self._automaton.iter(folded):
-                a, b = end - size + 1, end + 1
+            for end, key in self._automaton.iter(folded):
+                if own is not None and key not in own:
+                    continue
+                a, b = end - len(key) + 1, end + 1
                 left, right = a, b
                 while left > 0 and left not in starts and (text[left - 1].isspace() or text[left - 1] in "\"'([{“«"):
                     left -= 1
@@ -124,14 +126,18 @@ class Segmenter:
                     spans.append((a, b))
         return spans
 
-    def split(self, text: str | None) -> list[str]:
-        """Values of one field in order; null, empty and blank fields give none."""
+    def split(self, text: str | None, own: Iterable[str] | None = None) -> list[str]:
+        """Values of one field in order; null, empty and blank fields give none.
+
+        ``own`` limits the known values to those that count for this field, so that
+        the result does not depend on what else the automaton holds.
+        """
         if text is None or not text.strip():
             return []
         whole = text.strip()
         if len(whole) >= 2 and whole[0] == "[" and whole[-1] == "]":
             text = whole[1:-1]
-        spans = self._protected(text)
+        spans = self._protected(text, None if own is None else {fold(k) for k in own})
         cuts = [(m.start(), m.end()) for m in _CUT.finditer(text)]
         cover = _best_cover(len(text), spans)
         pieces, at = [], 0
@@ -177,7 +183,7 @@ def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed, known = batch.column("packed").to_pylist(), batch.column("known").to_pylist()
         cutter = Segmenter({k for ks in known if ks for k in ks})
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.string()), pa.array([cutter.split(p) for p in packed], pa.list_(pa.string()))], names=["packed", "items"])
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.string()), pa.array([cutter.split(p, k or ()) for p, k in zip(packed, known)], pa.list_(pa.string()))], names=["packed", "items"])
 
 
 def _pieces(col):
