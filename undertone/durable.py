@@ -34,14 +34,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_OPEN: list[Scratch] = []
+
+
+def sweep() -> None:
+    """Remove the intermediate tables of all queries so far; none of their results may be read any more."""
+    while _OPEN:
+        _OPEN.pop().close()
+
+
 class Scratch:
-    """Named folder of written intermediate tables, removed when the process ends."""
+    """Named folder of written intermediate tables, removed by ``sweep`` or when the process ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._paths: dict[int, str] = {}
-        atexit.register(self.close)
+        _OPEN.append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a scan of what was written."""
@@ -62,3 +71,6 @@ class Scratch:
             _delete(self.spark, self.root)
         except Exception:  # noqa: BLE001 - the JVM may be gone at exit
             pass
+
+
+atexit.register(sweep)

@@ -88,23 +88,38 @@ def sound_disagreements(spark: SparkSession, root: str) -> DataFrame:
 def title_duplicates(spark: SparkSession, root: str) -> DataFrame:
     """Records of one title key and version whose artist, duration and sound agree."""
     rec = records(spark, root).withColumn("t", ops.title_keys("title")).select("*", "t.base", "t.version").drop("t").where("base <> ''")
-    x = rec.select(*[F.col(c).alias(f"{c}_a") if c not in ("base", "version") else F.col(c) for c in rec.columns])
-    y = rec.select(*[F.col(c).alias(f"{c}_b") if c not in ("base", "version") else F.col(c) for c in rec.columns])
-    pairs = x.join(y, ["base", "version"]).where("id_a < id_b")
-    agree = ops.artists_agree(F.col("artist_id_a"), F.col("artist_id_b"), F.col("artist_a"), F.col("artist_b"))
-    ok = agree & ops.durations_agree(F.col("duration_ms_a"), F.col("duration_ms_b"), agree) & ops.sounds_agree(F.col("vector_a"), F.col("vector_b"))
+    pairs = _one_artist(rec, ["base", "version"])
+    ok = ops.durations_agree(F.col("duration_ms_a"), F.col("duration_ms_b"), F.lit(True)) & ops.sounds_agree(F.col("vector_a"), F.col("vector_b"))
     return pairs.where(ok).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "base", "version")
 
 
+def _one_artist(rec: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of records with equal keys and one artist: equal ids, or equal leading names where an id is unknown.
+
+    The artist is part of either join's key, so a title or a length that many
+    artists use never gathers their records in one group.
+    """
+    named = rec.withColumn("lead", ops.leading_artist(F.col("artist")))
+    other = [c for c in named.columns if c not in keys]
+
+    def side(rows: DataFrame, s: str, key: str) -> DataFrame:
+        return rows.select(*keys, F.col(key).alias("_k"), *[F.col(c).alias(f"{c}_{s}") for c in other])
+
+    by_id = named.where("artist_id is not null")
+    same_id = side(by_id, "a", "artist_id").join(side(by_id, "b", "artist_id"), [*keys, "_k"])
+    by_name = named.where("lead <> ''")
+    same_name = side(by_name, "a", "lead").join(side(by_name, "b", "lead"), [*keys, "_k"]).where("artist_id_a is null or artist_id_b is null")
+    return same_id.unionByName(same_name).where("id_a < id_b").drop("_k")
+
+
 @query()
 def duration_duplicates(spark: SparkSession, root: str) -> DataFrame:
     """Records of equal duration, version and numbering whose titles are alike."""
-    rec = records(spark, root).where("duration_ms > 0").withColumn("t", ops.title_keys("title")).select("id", "title", "duration_ms", "artist_id", "artist", "t.base", "t.version")
-    x = rec.select("duration_ms", "version", *[F.col(c).alias(f"{c}_a") for c in ("id", "title", "base", "artist", "artist_id")])
-    y = rec.select("duration_ms", "version", *[F.col(c).alias(f"{c}_b") for c in ("id", "title", "base", "artist", "artist_id")])
-    pairs = x.join(y, ["duration_ms", "version"]).where("id_a < id_b").where(ops.numbering(F.col("title_a")) == ops.numbering(F.col("title_b")))
-    pairs = pairs.where(ops.artists_agree(F.col("artist_id_a"), F.col("artist_id_b"), F.col("artist_a"), F.col("artist_b")))
-    return pairs.withColumn("ratio", ops.ratio("base_a", "base_b")).where("ratio >= 0.8").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round("ratio", 6).alias("ratio"))
+    rec = records(spark, root).where("duration_ms > 0").withColumn("t", ops.title_keys("title")).select("id", "duration_ms", "artist_id", "artist", "t.base", "t.version", ops.numbering(F.col("title")).alias("digits"))
+    pairs = _one_artist(rec, ["duration_ms", "version", "digits"])
+    # The ratio cannot exceed what the shorter text matches in full, so far lengths need no alignment.
+    near = F.least(F.length("base_a"), F.length("base_b")) * 2 >= 0.8 * (F.length("base_a") + F.length("base_b"))
+    return pairs.where(near).withColumn("ratio", ops.ratio("base_a", "base_b")).where("ratio >= 0.8").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round("ratio", 6).alias("ratio"))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from undertone.operators.ranking import running_total
 from undertone.plans.base import LISTEN_SQL, TWINS_SQL, WINDOWS, canonical, listen, windows
 from undertone.plans.joins import ARTIST_SQL, artists
 from undertone.plans.registry import query
@@ -28,13 +29,11 @@ def popularity_percentile(spark: SparkSession, root: str) -> DataFrame:
     "with r as (select album_type, duration_ms, row_number() over (partition by album_type order by duration_ms) as k, count(*) over (partition by album_type) as n from track_meta where duration_ms is not null) select album_type, duration_ms as upper_median from r where k = n // 2 + 1"
 )
 def upper_median(spark: SparkSession, root: str) -> DataFrame:
-    """The value at place n // 2 of each sorted group, from counts of distinct values."""
+    """The value at place n // 2 of each sorted group, from running counts of distinct values."""
     c = table(spark, root, "track_meta").where("duration_ms is not null").groupBy("album_type", "duration_ms").agg(F.count("*").alias("n"))
-    total = c.groupBy("album_type").agg(F.sum("n").alias("whole"))
-    w = Window.partitionBy("album_type").orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0)
-    upto = c.withColumn("upto", F.sum("n").over(w)).join(total.withColumnRenamed("album_type", "kind"), F.col("album_type").eqNullSafe(F.col("kind")))
-    place = F.floor(F.col("whole") / 2) + 1
-    return upto.where((F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)).select("album_type", F.col("duration_ms").alias("upper_median"))
+    upto = running_total(c, ["album_type"], "duration_ms", "n")
+    place = F.floor(F.col("_all") / 2)
+    return upto.where((F.col("_below") <= place) & (place < F.col("_below") + F.col("n"))).select("album_type", F.col("duration_ms").alias("upper_median"))
 
 
 @query(
@@ -85,12 +84,15 @@ def genre_diversity(spark: SparkSession, root: str) -> DataFrame:
 
 @query(
     """with l as (select label, generate_subscripts(embedding, 1) as pos, unnest(embedding) as v from embeddings), r as (select label, pos, cast(v as double) as v, row_number() over (partition by label, pos order by v) as k, count(*) over (partition by label, pos) as n from l)
-  select label, cast(pos as bigint) as pos, round(max(case when k = cast(floor(0.25 * (n - 1)) as bigint) + 1 then v end), 7) as low, round(max(case when k = cast(floor(0.5 * (n - 1)) as bigint) + 1 then v end), 7) as middle, round(max(case when k = cast(floor(0.75 * (n - 1)) as bigint) + 1 then v end), 7) as high from r group by 1, 2"""
+  select label, cast(pos as bigint) as pos, round(max(case when k = cast(floor(0.25 * (n - 1)) as bigint) + 1 then v end), 7) as low, round(max(case when k = cast(floor(0.5 * (n - 1)) as bigint) + 1 then v end), 7) as middle, round(max(case when k = cast(floor(0.75 * (n - 1)) as bigint) + 1 then v end), 7) as high from r where n >= 5 group by 1, 2"""
 )
 def pointwise_band(spark: SparkSession, root: str) -> DataFrame:
-    """Lower nearest-rank quartiles of curves at each point, not interpolated."""
+    """Lower nearest-rank quartiles of five or more curves at each point, not interpolated."""
     long = table(spark, root, "embeddings").select("label", F.posexplode("embedding").alias("pos", "v")).select("label", (F.col("pos") + 1).cast("long").alias("pos"), F.col("v").cast("double").alias("v"))
-    w = Window.partitionBy("label", "pos")
-    r = long.withColumn("k", F.row_number().over(w.orderBy("v"))).withColumn("n", F.count("*").over(w))
-    at = {name: F.round(F.max(F.when(F.col("k") == F.floor((F.col("n") - 1) * q) + 1, F.col("v"))), 7).alias(name) for name, q in (("low", 0.25), ("middle", 0.5), ("high", 0.75))}
-    return r.groupBy("label", "pos").agg(*at.values())
+    c = running_total(long.groupBy("label", "pos", "v").agg(F.count("*").alias("n")), ["label", "pos"], "v", "n").where("_all >= 5")
+
+    def at(share: float):
+        place = F.floor((F.col("_all") - 1) * share)
+        return F.round(F.max(F.when((F.col("_below") <= place) & (place < F.col("_below") + F.col("n")), F.col("v"))), 7)
+
+    return c.groupBy("label", "pos").agg(at(0.25).alias("low"), at(0.5).alias("middle"), at(0.75).alias("high"))
