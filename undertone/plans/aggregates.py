@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from undertone.durable import Scratch
 from undertone.operators.aggregates import banded
+from undertone.operators.ranking import quantiles
 from undertone.plans.base import FEATS_SQL, PERC_SQL, TWINS_SQL, feats, perc, twins
 from undertone.plans.joins import ARTIST_SQL, CARD_SQL, YEAR_SQL, artists, card, year_of
 from undertone.plans.registry import query
@@ -38,17 +40,22 @@ def album_rollup(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(
-    f"""with {CARD_SQL} select cast(floor(year / 10) * 10 as integer) as decade, count(*) as n_tracks, round(avg(loudness_db), 9) as mean_loudness, round(median(loudness_db), 9) as median_loudness,
-  round(avg(tempo), 9) as tempo, round(avg(duration_sec), 9) as duration, count(distinct primary_artist_id) as n_artists from card
-  where feature_valid and year is not null and abs(tempo) < 1e6 and abs(loudness_db) < 1e6 group by 1 having count(*) >= 20"""
+    f"""with {CARD_SQL} select cast(floor(year / 10) * 10 as integer) as decade, count(*) as n_tracks, round(avg(loudness_db) filter (where abs(loudness_db) < 1e6), 9) as mean_loudness, round(median(loudness_db), 9) as median_loudness,
+  round(avg(tempo) filter (where abs(tempo) < 1e6), 9) as tempo, round(avg(duration_sec) filter (where abs(duration_sec) < 1e6), 9) as duration, count(distinct primary_artist_id) as n_artists from card
+  where feature_valid and year is not null group by 1 having count(*) >= 20"""
 )
 def era_profile(spark: SparkSession, root: str) -> DataFrame:
-    """Decades with at least 20 valid tracks."""
-    rows = card(spark, root).where("feature_valid and year is not null and abs(tempo) < 1e6 and abs(loudness_db) < 1e6")
-    return rows.groupBy((F.floor(F.col("year") / 10) * 10).cast("int").alias("decade")).agg(
-        F.count("*").alias("n_tracks"), F.round(F.avg("loudness_db"), 9).alias("mean_loudness"), F.round(F.percentile("loudness_db", F.lit(0.5)), 9).alias("median_loudness"),
-        F.round(F.avg("tempo"), 9).alias("tempo"), F.round(F.avg("duration_sec"), 9).alias("duration"), F.count_distinct("primary_artist_id").alias("n_artists"),
-    ).where("n_tracks >= 20")
+    """Decades with at least 20 valid tracks; values of a million and more stay out of means, which they would swamp."""
+    decade = (F.floor(F.col("year") / 10) * 10).cast("int").alias("decade")
+    rows = card(spark, root).where("feature_valid and year is not null").select(decade, "loudness_db", "tempo", "duration_sec", "primary_artist_id")
+    rows = Scratch(spark, "eras").save(rows)
+
+    def mean(c: str, out: str):
+        return F.round(F.avg(F.when(F.abs(c) < 1e6, F.col(c))), 9).alias(out)
+
+    one = rows.groupBy("decade").agg(F.count("*").alias("n_tracks"), mean("loudness_db", "mean_loudness"), mean("tempo", "tempo"), mean("duration_sec", "duration"), F.count_distinct("primary_artist_id").alias("n_artists")).where("n_tracks >= 20")
+    middle = quantiles(rows, ["decade"], "loudness_db", [0.5]).select("decade", F.round(F.col("p")[0], 9).alias("median_loudness"))
+    return one.join(middle, "decade", "left").select("decade", "n_tracks", "mean_loudness", "median_loudness", "tempo", "duration", "n_artists")
 
 
 @query(
@@ -57,11 +64,13 @@ def era_profile(spark: SparkSession, root: str) -> DataFrame:
 )
 def corpus_facts(spark: SparkSession, root: str) -> DataFrame:
     valid = F.col("feature_valid")
-    one = card(spark, root).agg(
-        F.count("*").alias("n_tracks"), F.count_if(valid).alias("n_valid"), F.round(F.avg(F.when(valid & (F.abs("tempo") < 1e6), F.col("tempo"))), 9).alias("tempo"),
-        F.round(F.percentile(F.when(valid, F.col("energy")), F.lit(0.5)), 9).alias("energy_median"), F.count_distinct("primary_artist_id").alias("n_artists"),
+    rows = Scratch(spark, "facts").save(card(spark, root).select("feature_valid", "tempo", "energy", "primary_artist_id"))
+    one = rows.agg(
+        F.count("*").alias("n_tracks"), F.count_if(valid).alias("n_valid"), F.round(F.avg(F.when(valid & (F.abs("tempo") < 1e6), F.col("tempo"))), 9).alias("tempo"), F.count_distinct("primary_artist_id").alias("n_artists")
     )
-    return one.join(F.broadcast(twins(spark, root).agg(F.count("*").alias("n_twins"))), F.lit(True))
+    middle = quantiles(rows.where(valid).withColumn("all", F.lit(0)), ["all"], "energy", [0.5]).select(F.round(F.col("p")[0], 9).alias("energy_median"))
+    whole = one.join(F.broadcast(middle), F.lit(True), "left").join(F.broadcast(twins(spark, root).agg(F.count("*").alias("n_twins"))), F.lit(True))
+    return whole.select("n_tracks", "n_valid", "tempo", "energy_median", "n_artists", "n_twins")
 
 
 @query(
