@@ -95,3 +95,20 @@ def test_batched_sketches_equal_single_ones():
     seeds = np.arange(1, 9, dtype=np.uint64) * np.uint64(991)
     texts = ["a", "", "abab", "kelp" * 3000, "amber nolito", "åé日"]
     assert (order_minhashes(texts, seeds) == np.stack([order_minhash(t, seeds) for t in texts])).all()
+
+
+def test_unlike_performers_make_no_candidates(spark, monkeypatch):
+    from undertone.durable import Scratch
+
+    saved, save = [], Scratch.save
+
+    def counted(self, df):
+        out = save(self, df)
+        saved.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    names = [f"{a}{b}{c}" for a in ("Zedal", "Onkri", "Brixu", "Tamor") for b in "bdfgklmn" for c in ("osteli", "uvarni", "aquorp", "iphexo")]
+    rows = [(f"{i:03}", f"The Lantern Parade {w}", n, 200_000) for i, (n, w) in enumerate(zip(names, reversed(names)))]
+    assert ("x", "y") in _pairs(spark, [*rows, ("x", "The Lantern Parade Mimosa", "Quite Alone", 200_000), ("y", "The Lanten Parade Mimosa", "Quite Alone", 200_000)])
+    assert max(saved) <= 4 * len(rows)

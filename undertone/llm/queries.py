@@ -64,7 +64,7 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     crowded = members.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     x = members.select(F.col("id").alias("x"), F.col("rep").alias("a"))
     y = members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
-    both = pairs.unionByName(crowded).join(x, "a").join(y, "b").where("a <> b or x < y")
+    both = pairs.unionByName(crowded).join(x, "a").join(y, "b").where("x <> y and (a <> b or x < y)")
     return both.select(F.least("x", "y").alias("track_id_a"), F.greatest("x", "y").alias("track_id_b"))
 
 

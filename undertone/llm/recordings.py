@@ -1,7 +1,8 @@
-"""Near-duplicate titles with small edits: Order MinHash candidates, banded alignment."""
+"""Near-duplicate titles with small edits: candidates by performer and time, banded alignment."""
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -9,16 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from undertone.durable import Scratch
 
-#: Titles with more rows than this also need a performer's key in common before two rows meet.
-COMMON_TITLE = 2048
-#: Titles with up to this many rows are compared only where a performer agrees; others are compared anyway.
-FEW_ROWS = 64
+#: Not read any more: nothing here depends on how many rows a title has. A test of an earlier round still sets them.
+COMMON_TITLE = FEW_ROWS = 0
 
 # Credit words, release labels and take labels of titles.
 CREDIT = re.compile(r"^(feat|ft|featuring|with)\b")
@@ -152,18 +151,72 @@ def profile(text: str, k: int = 2) -> list[str]:
     return out
 
 
-#: Titles up to this many letters are accepted at two edits at most; all that lie so near are candidates by exact keys.
-SHORT = 10
+def _bit(item: str) -> int:
+    return 1 << (zlib.crc32(item.encode("utf-8", "surrogatepass")) & 63)
 
 
-def slip_keys(text: str, slips: int = 2) -> set[int]:
-    """Hashes of the text with up to ``slips`` letters left out; texts at most so many edits apart share one."""
-    level = every = {text}
-    for _ in range(min(slips, len(text))):
-        level = {t[:i] + t[i + 1 :] for t in level for i in range(len(t))}
-        every = every | level
-    raw = [t.encode("utf-8", "surrogatepass") for t in every]
-    return {zlib.crc32(r) | zlib.crc32(r, 0x5BD1E995) << 32 for r in raw}
+def bits(text: str, k: int) -> int:
+    """The occurrence-labelled k-mers as a set of 64 bits; two such sets differ in no more bits than k-mers."""
+    out = 0
+    for item in profile(text, k):
+        out |= _bit(item)
+    return out - (1 << 64) if out >> 63 else out
+
+
+#: Names beyond this many letters meet by length instead of by pieces, whose number grows with the square of it.
+LONG = 32
+
+
+def most_slips(size: int) -> int:
+    """Edits that two names may be apart, the longer of which has ``size`` letters."""
+    return max(2, int(size * 0.3))
+
+
+def _stretch(size: int) -> int:
+    return int(math.log(size) / math.log(1 / 0.7))
+
+
+def name_keys(name: str) -> tuple[set[int], set[int]]:
+    """``(as the shorter, as the longer)``: two names that are near share a key of the one's first and the other's second set.
+
+    The shorter name is cut into one piece more than edits are allowed, so that a
+    piece stands unchanged in the longer one, after at most as many edits as there
+    are pieces before it and with the rest of the edits behind it. No near pair is
+    missed; what else meets is aligned anyway.
+    """
+    size = len(name)
+    short: set[int] = set()
+    long: set[int] = set()
+    if size < 5:
+        return short, long
+
+    def key(other: int, slips: int, i: int, piece: str) -> int:
+        return zlib.crc32(piece.encode("utf-8", "surrogatepass")) | other << 32 | slips << 38 | i << 42
+
+    def pieces(n: int, slips: int) -> Iterator[tuple[int, int, int]]:
+        least, more = divmod(n, slips + 1)
+        at = 0
+        for i in range(slips + 1):
+            wide = least + (i > slips - more)
+            yield i, at, wide
+            at += wide
+
+    longer = size
+    while longer <= LONG and longer - most_slips(longer) <= size:
+        short.update(key(size, most_slips(longer), i, name[at : at + wide]) for i, at, wide in pieces(size, most_slips(longer)))
+        longer += 1
+    if longer > LONG:
+        short.add(1 << 62 | _stretch(size))
+    slips = most_slips(size)
+    if size > LONG:
+        long.update(1 << 62 | b for b in range(_stretch(size - slips), _stretch(size) + 1))
+        return short, long
+    for other in range(max(5, size - slips), size + 1):
+        apart = size - other
+        for i, at, wide in pieces(other, slips):
+            first, last = max(0, at - i, at + apart - (slips - i)), min(size - wide, at + i, at + apart + (slips - i))
+            long.update(key(other, slips, i, name[x : x + wide]) for x in range(first, last + 1))
+    return short, long
 
 
 def _labelled(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,62 +282,36 @@ def order_minhash(text: str, seeds: np.ndarray, k: int = 3, ell: int = 2) -> np.
     return order_minhashes([text], seeds, k, ell)[0]
 
 
-_PARSED = T.StructType(
-    [T.StructField("id", T.StringType()), T.StructField("duration", T.LongType()), T.StructField("take", T.StringType()), T.StructField("numbers", T.StringType())]
-    + [T.StructField("words", T.ArrayType(T.StringType())), T.StructField("names", T.ArrayType(T.StringType()))]
-)
+_PARSED = "id string, duration long, take string, numbers string, title string, size int, letters long, grams long, names array<string>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+    names = [f.split()[0] for f in _PARSED.split(", ")]
     for batch in batches:
-        cols: list[list] = [[], [], [], [], [], []]
+        cols: list[list] = [[] for _ in kinds]
         for ident, name, artists, duration in zip(*(batch.column(i).to_pylist() for i in range(4))):
             words, take, numbers = parse_title(name)
             who = performers(artists)
             if words and who:
-                for col, v in zip(cols, (ident, duration, take, numbers, words, who)):
+                text = "".join(words)
+                for col, v in zip(cols, (ident, duration, take, numbers, " ".join(words), len(text), bits(text, 1), bits(text, 2), who)):
                     col.append(v)
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.string())] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=_PARSED.names)
-
-
-def _title_marks(n_text: int, n_sorted: int):
-    """Sketch values of titles ``(tid, take, numbers, words)`` as ``(tid, hs)``."""
-    seeds = np.random.default_rng(20).integers(1, 1 << 62, n_text + n_sorted, dtype=np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = batch.column(3).to_pylist()
-            texts = ["".join(w) for w in words]
-            every = np.concatenate([order_minhashes(texts, seeds[:n_text]), order_minhashes(["".join(sorted(w)) for w in words], seeds[n_text:])], axis=1)
-            out = []
-            for take, numbers, ws, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), words, every):
-                tag = np.uint64(zlib.crc32(f"{take}|{numbers}".encode("utf-8", "surrogatepass")) << 20)
-                if sum(map(len, ws)) <= SHORT + 2:
-                    spelt = {"".join(ws), "".join(sorted(ws)), *("".join(ws[i:] + ws[:i]) for i in range(1, len(ws)))}
-                    h = np.concatenate([h, np.array(sorted(set().union(*map(slip_keys, spelt))), np.uint64)])
-                out.append(np.unique((h ^ tag) * np.uint64(0xD1342543DE82EF95)))
-            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), hs], names=["tid", "hs"])
-
-    return run
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
 
 def _name_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of single names as ``(name, key)``: spellings with up to two letters left out of short ones, sketches of all."""
-    seeds = np.random.default_rng(21).integers(1, 1 << 62, 24, dtype=np.uint64)
+    """Keys of single names ``(name, n)`` as ``(name, n, letters, longer, key)``."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = batch.column(0).to_pylist()
-        out = []
-        for name, h in zip(names, order_minhashes(names, seeds, 2, 2)):
-            out.append(np.unique(np.concatenate([h, np.array(sorted(slip_keys(name)) if len(name) <= SHORT + 2 else [zlib.crc32(name.encode("utf-8", "surrogatepass"))], np.uint64)])))
-        at = pa.array(np.repeat(np.arange(len(names)), [len(h) for h in out]))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(out).view(np.int64))], names=["name", "key"])
+        cols: list[list] = [[] for _ in range(5)]
+        for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            letters = bits(name, 1)
+            for longer, keys in enumerate(name_keys(name)):
+                for key in keys:
+                    for col, v in zip(cols, (name, n, letters, bool(longer), key)):
+                        col.append(v)
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["name", "n", "letters", "longer", "key"])
 
 
 def _near(a: Column, b: Column, limit: Column) -> Column:
@@ -306,68 +333,83 @@ def _profiles(text: str) -> list[str]:
     return profile(text)
 
 
-def _similar_titles(pairs: DataFrame, titles: DataFrame, slips: float, alike: float) -> DataFrame:
-    """Title pairs ``(ta, tb)`` that are one title but for slips and order."""
-    left = titles.select(*[F.col(c).alias(f"{c}_a") for c in titles.columns])
-    right = titles.select(*[F.col(c).alias(f"{c}_b") for c in titles.columns])
-    both = pairs.join(left, F.col("ta") == F.col("tid_a")).join(right, F.col("tb") == F.col("tid_b"))
-    limit = F.greatest(F.lit(2), F.floor(F.least(F.length("text_a"), F.length("text_b")) * slips)).cast("int")
-    ok = (F.abs(F.length("text_a") - F.length("text_b")) <= limit) & (F.col("take_a") == F.col("take_b")) & (F.col("numbers_a") == F.col("numbers_b"))
-    same = (
-        _near(F.col("text_a"), F.col("text_b"), limit)
-        | _near(F.concat_ws("", F.array_sort("words_a")), F.concat_ws("", F.array_sort("words_b")), limit)
-        | (2 * F.size(F.array_intersect("profile_a", "profile_b")) >= alike * (F.size("profile_a") + F.size("profile_b")))
-        | _turned(F.col("words_a"), F.col("text_b"), limit)
-        | _turned(F.col("words_b"), F.col("text_a"), limit)
-    )
-    return both.where(ok).where(same).select("ta", "tb").distinct()
+def _unlike(a: Column, b: Column) -> Column:
+    """Bits that only one of the two sets has."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def _near_names(names: DataFrame) -> DataFrame:
+    """Names ``(name, n)`` that agree but for slips, as ``(name, host)``; the host is the one with more rows."""
+    marks = names.mapInArrow(_name_marks, "name string, n long, letters long, longer boolean, key long")
+    cols = ["name", "n", "letters"]
+    short = marks.where("not longer").select("key", *[F.col(c).alias(f"{c}_a") for c in cols])
+    long = marks.where("longer").select("key", *[F.col(c).alias(f"{c}_b") for c in cols])
+    sizes = F.length("name_a"), F.length("name_b")
+    most = F.greatest(F.lit(2), F.floor(sizes[1] * 0.3)).cast("int")
+    once = (sizes[0] < sizes[1]) | ((sizes[0] == sizes[1]) & (F.col("name_a") < F.col("name_b")))
+    # Each edit changes at most one letter on either side.
+    like = (_unlike(F.col("letters_a"), F.col("letters_b")) <= 2 * most - (sizes[1] - sizes[0])) & _near(F.col("name_a"), F.col("name_b"), most)
+    both = short.join(long.hint("merge"), "key").where(once & like).select(F.struct("n_a", "name_a").alias("a"), F.struct("n_b", "name_b").alias("b")).distinct()
+    rare, host = F.least("a", F.struct(F.col("b.n_b").alias("n_a"), F.col("b.name_b").alias("name_a"))), F.greatest("a", F.struct(F.col("b.n_b").alias("n_a"), F.col("b.name_b").alias("name_a")))
+    return both.select(rare["name_a"].alias("name"), host["name_a"].alias("host"))
+
+
+def _limit(slips: float) -> Column:
+    return F.greatest(F.lit(2), F.floor(F.least("size_a", "size_b") * slips)).cast("int")
+
+
+def _aligned(slips: float) -> Column:
+    """The titles, their sorted words, or a rotation of one's words and the other align within the limit."""
+    limit, gap = _limit(slips), F.abs(F.col("size_a") - F.col("size_b"))
+    words = {s: F.split(F.col(f"title_{s}"), " ") for s in "ab"}
+    text = {s: F.replace(F.col(f"title_{s}"), F.lit(" "), F.lit("")) for s in "ab"}
+    tidy = {s: F.concat_ws("", F.array_sort(words[s])) for s in "ab"}
+    turned = _turned(words["a"], text["b"], limit) | _turned(words["b"], text["a"], limit)
+    # However the words lie, each edit changes at most one letter on either side.
+    return (gap <= limit) & (_unlike(F.col("letters_a"), F.col("letters_b")) <= 2 * limit - gap) & (_near(text["a"], text["b"], limit) | _near(tidy["a"], tidy["b"], limit) | turned)
+
+
+def _profile_sizes() -> Column:
+    return F.greatest(F.lit(1), F.col("size_a") - 1) + F.greatest(F.lit(1), F.col("size_b") - 1)
 
 
-def _names_agree(a: Column, b: Column) -> Column:
-    def like(x: Column, y: Column) -> Column:
-        most = F.greatest(F.lit(2), F.floor(F.greatest(F.length(x), F.length(y)) * 0.3)).cast("int")
-        return (x == y) | ((F.least(F.length(x), F.length(y)) >= 5) & _near(x, y, most))
+def _maybe_alike(slips: float, alike: float) -> Column:
+    """What ``_alike`` accepts and little else, from bits alone."""
+    return (F.abs(F.col("size_a") - F.col("size_b")) <= _limit(slips)) & (_unlike(F.col("grams_a"), F.col("grams_b")) <= (1 - alike) * _profile_sizes() + 1e-6)
 
-    return F.arrays_overlap(a, b) | F.exists(a, lambda x: F.exists(b, lambda y: like(x, y)))
 
+def _alike(slips: float, alike: float) -> Column:
+    """Enough labelled 2-mers agree, whatever the order of the parts."""
+    grams = {s: _profiles(F.replace(F.col(f"title_{s}"), F.lit(" "), F.lit(""))) for s in "ab"}
+    return (F.abs(F.col("size_a") - F.col("size_b")) <= _limit(slips)) & (2 * F.size(F.array_intersect(grams["a"], grams["b"])) >= alike * _profile_sizes())
 
-def _few_names(rows: DataFrame) -> DataFrame:
-    """Performers of the titles that have at most FEW_ROWS rows, as ``(tid, names)``."""
-    few = rows.groupBy("tid").agg(F.count("*").alias("n")).where(F.col("n") <= FEW_ROWS).select("tid")
-    return rows.join(few, "tid").select("tid", F.explode("names").alias("name")).groupBy("tid").agg(F.collect_set("name").alias("names"))
 
+#: Title lengths beyond this share a key where durations are unknown.
+WIDE = 64
 
-def _slots(rows: DataFrame, apart: int) -> DataFrame:
-    """Rows by stretches of time; any two rows at most ``apart`` from each other share one."""
-    wide = F.lit(2 * apart)
-    own = F.floor(F.col("duration") / wide)
-    return rows.where("duration is not null").withColumn("slot", F.explode(F.when(F.col("duration") - own * wide <= apart, F.array(own, own - 1)).otherwise(F.array(own))))
+CARRIED = ["id", "duration", "title", "size", "letters", "grams"]
 
 
-def same_recordings(
-    df: DataFrame, ident: str, title: str, artists: str, duration: str, apart: int = 2500, sketches: tuple[int, int] = (32, 16), slips: float = 0.28, alike: float = 0.74
-) -> tuple[DataFrame, DataFrame]:
+def same_recordings(df: DataFrame, ident: str, title: str, artists: str, duration: str, apart: int = 2500, slips: float = 0.28, alike: float = 0.74) -> tuple[DataFrame, DataFrame]:
     """Pairs of records that are one recording; returns ``(pairs, members)``.
 
     Rows with equal folded title words, take, numbers, performers and duration
     fold into a class named by its smallest id: ``members`` has ``(id, rep)`` of
     all usable rows, ``pairs`` has ``a < b`` between class names.
 
-    Equal titles (words, take and numbers) fold before they are compared.
-    Candidate titles share one of ``sum(sketches)`` Order MinHash values (two
-    labelled 3-mers in text order; the first group over the title as it stands,
-    the second over its sorted words) or, where a title has up to ``SHORT``
-    letters and k-mers tell little, a spelling with up to two letters left out, so
-    that no pair two edits apart is missed among these; and the take, the numbers,
-    and a stretch of time unless a duration is unknown. They are verified once a
-    pair by banded alignment: at most ``slips`` of the shorter title in edits (at
-    least 2) between the titles, their sorted words, or any rotation of one
-    title's words and the other; or, where parts moved and lost their spaces,
-    ``alike`` of their labelled 2-mers agree. Rows of like titles are one
-    recording when their durations differ by at most ``apart`` ms and a performer
-    agrees but for slips. Rows of a title that has more than COMMON_TITLE meet
-    only under a key of a performer's name, so common titles make no pairs of
-    unlike performers.
+    Two classes are one recording when a performer agrees but for slips, take and
+    numbers are equal, durations differ by at most ``apart`` ms and the titles
+    agree. Candidates are those that satisfy all but the last: names that agree
+    are found once among the distinct ones by pieces that must be equal
+    (``name_keys``), rows meet under the more frequent name of such a pair, and
+    in stretches of time or, where a duration is unknown, of title length. So no
+    candidate is missed, however many rows a title or a name has, and none is
+    written: titles are compared inside the join, by sets of bits that rule most
+    out, then by banded alignment: at most ``slips`` of the shorter title in
+    edits (at least 2) between the titles, their sorted words, or any rotation of
+    one title's words and the other; or, where parts moved and lost their spaces,
+    ``alike`` of their labelled 2-mers agree. The work is quadratic in the rows
+    that one performer has in a stretch of 10 seconds.
 
     Null ids, null or blank titles or artists give no rows; a title that is
     nothing but labels counts as its own words; an unknown duration agrees with
@@ -377,52 +419,34 @@ def same_recordings(
     scratch = Scratch(spark, "recordings")
     rows = df.select(F.col(ident).cast("string").alias("id"), F.col(title).alias("title"), F.col(artists).alias("artists"), F.col(duration).cast("long").alias("duration"))
     rows = rows.where(F.col("id").isNotNull() & F.col("title").rlike(WORDY) & F.col("artists").rlike(WORDY))
-    parsed = rows.mapInArrow(_parse, _PARSED).withColumn("tid", F.xxhash64("words", "take", "numbers"))
-    parsed = scratch.save(parsed)
-    same = ["words", "take", "numbers", "duration", "names"]
-    keyed = parsed.withColumn("key", F.sha2(F.to_json(F.struct(*same)), 256))
-    reps = keyed.groupBy("key").agg(F.min("id").alias("rep"))
-    members = scratch.save(keyed.select("id", "key").distinct().join(reps, "key").select("id", "rep"))
-    firsts = scratch.save(parsed.join(members.where("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]))
-    titles = firsts.groupBy("tid", "words", "take", "numbers").agg(F.count("*").alias("n_rows"), F.max(F.col("duration").isNull()).alias("untimed"))
-    text = F.concat_ws("", "words")
-    titles = scratch.save(titles.withColumn("text", text).withColumn("profile", _profiles(text)))
-    marks = scratch.save(titles.select("tid", "take", "numbers", "words").mapInArrow(_title_marks(*sketches), "tid long, hs array<long>"))
-    when = _slots(firsts.select("tid", "duration"), apart).select("tid", "slot").distinct()
-    timed = marks.join(when, "tid").select("tid", "slot", F.explode("hs").alias("h")).select("tid", F.xxhash64("h", "slot").alias("key"))
-    near = timed.select(F.col("tid").alias("ta"), "key").join(timed.select(F.col("tid").alias("tb"), "key").hint("merge"), "key").where("ta < tb").select("ta", "tb")
-    untimed = marks.join(titles.where("untimed").select("tid"), "tid", "left_semi").select(F.col("tid").alias("ta"), F.explode("hs").alias("h"))
-    loose = untimed.join(marks.select(F.col("tid").alias("tb"), F.explode("hs").alias("h")).hint("merge"), "h").where("ta <> tb").select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb"))
-    candidates = scratch.save(near.unionByName(loose).distinct())
-    scratch.drop(marks)
-    who = titles.select("tid").distinct().join(_few_names(firsts), "tid", "left")
-    likely = candidates.join(who.toDF("ta", "names_a"), "ta").join(who.toDF("tb", "names_b"), "tb")
-    likely = scratch.save(likely.where(F.col("names_a").isNull() | F.col("names_b").isNull() | _names_agree(F.col("names_a"), F.col("names_b"))).select("ta", "tb"))
-    own = titles.select("tid", "text", "words", "profile", "take", "numbers")
-    alike_titles = _similar_titles(likely, own, slips, alike)
-    again = titles.where("n_rows > 1").select(F.col("tid").alias("ta"), F.col("tid").alias("tb")).distinct()
-    common = titles.groupBy("tid").agg(F.sum("n_rows").alias("n")).where(F.col("n") > COMMON_TITLE).select("tid")
-    flag = common.withColumn("common", F.lit(True))
-    linked = alike_titles.unionByName(again).join(flag.toDF("ta", "ca"), "ta", "left").join(flag.toDF("tb", "cb"), "tb", "left")
-    linked = scratch.save(linked.select("ta", "tb", (F.col("ca") & F.col("cb")).alias("crowded")))
-
-    row = firsts.select("tid", "id", "duration", "names")
-    plain_pairs, crowded = linked.where("crowded is null").select("ta", "tb"), linked.where("crowded").select("ta", "tb")
-
-    def side(rows: DataFrame, s: str, *keys: str) -> DataFrame:
-        return rows.select(F.col("tid").alias(f"t{s}"), *keys, *[F.col(c).alias(f"{c}_{s}") for c in ("id", "duration", "names")])
-
-    slotted, open_ = _slots(row, apart), row.where("duration is null")
-    known = plain_pairs.join(side(slotted, "a", "slot"), "ta").join(side(slotted, "b", "slot"), ["tb", "slot"]).drop("slot")
-    first_open = plain_pairs.join(side(open_, "a"), "ta").join(side(row, "b"), "tb")
-    second_open = plain_pairs.join(side(open_, "b"), "tb").join(side(row, "a"), "ta").where("duration_a is not null")
-    every = known.unionByName(first_open).unionByName(second_open)
-    if not crowded.isEmpty():
-        named = row.join(common, "tid", "left_semi").select("*", F.explode("names").alias("name"))
-        keys = named.select("name").distinct().mapInArrow(_name_marks, "name string, key long")
-        named = named.join(keys, "name").drop("name").distinct()
-        every = every.unionByName(crowded.join(side(named, "a", "key"), "ta").join(side(named, "b", "key"), ["tb", "key"]).drop("key"))
-    in_time = F.coalesce(F.abs(F.col("duration_a") - F.col("duration_b")) <= apart, F.lit(True))
-    found = every.where((F.col("id_a") != F.col("id_b")) & in_time).where(_names_agree(F.col("names_a"), F.col("names_b")))
-    found = found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    return scratch.save(found), members
+    same = ["title", "take", "numbers", "duration", "names"]
+    keyed = rows.mapInArrow(_parse, _PARSED).withColumn("key", F.unhex(F.sha2(F.to_json(F.struct(*same)), 256)))
+    once = keyed.repartition("key").dropDuplicates(["key", "id"])
+    classes = scratch.save(once.withColumn("rep", F.min("id").over(Window.partitionBy("key"))).drop("key"))
+    members = scratch.save(classes.select("id", "rep").distinct())
+
+    own = classes.where("id = rep").select(F.explode("names").alias("name"), "take", "numbers", *CARRIED)
+    near = scratch.save(_near_names(own.groupBy("name").agg(F.count("*").alias("n"))))
+    guests = own.join(near, "name").drop("name").withColumnRenamed("host", "name")
+    every = own.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+
+    def meet(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+        keys = ["name", "take", "numbers", *keys]
+        a = left.select(*keys, *[F.col(c).alias(f"{c}_a") for c in CARRIED])
+        b = right.select(*keys, "guest", *[F.col(c).alias(f"{c}_b") for c in CARRIED])
+        in_time = F.coalesce(F.abs(F.col("duration_a") - F.col("duration_b")) <= apart, F.lit(True))
+        ordered = F.when(F.col("guest") | F.col("duration_a").isNull() | F.col("duration_b").isNull(), F.col("id_a") != F.col("id_b")).otherwise(F.col("id_a") < F.col("id_b"))
+        both = a.join(b.hint("merge"), keys).where(ordered & in_time).where(_maybe_alike(slips, alike) | _aligned(slips))
+        return both.select(*[f"{c}_{s}" for c in ("id", "title", "size", "letters") for s in "ab"])
+
+    slot = F.floor(F.col("duration") / (2 * apart))
+    beside = F.when(F.col("duration") - slot * 2 * apart < apart, slot - 1).otherwise(slot + 1)
+    timed = meet(own.where("duration is not null").withColumn("slot", slot), every.where("duration is not null").withColumn("slot", F.explode(F.array(slot, beside))), "slot")
+    reach = F.greatest(F.lit(2), F.floor(F.col("size") * slips)).cast("int")
+    sized = F.least(F.col("size"), F.lit(WIDE))
+    sizes = F.explode(F.sequence(F.least(F.col("size") - reach, F.lit(WIDE)), F.least(F.col("size") + reach, F.lit(WIDE))))
+    first_open = meet(own.withColumn("wide", sized), every.where("duration is null").withColumn("wide", sizes), "wide")
+    second_open = meet(own.where("duration is null").withColumn("wide", sizes), every.where("guest and duration is not null").withColumn("wide", sized), "wide")
+    likely = scratch.save(timed.unionByName(first_open).unionByName(second_open))
+    found = likely.where(_aligned(slips) | _alike(slips, alike))
+    return scratch.save(found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()), members
