@@ -35,6 +35,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 _OPEN: list[Scratch] = []
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def sweep() -> None:
@@ -44,10 +45,14 @@ def sweep() -> None:
 
 
 class Scratch:
-    """Named folder of written intermediate tables, removed by ``sweep`` or when the process ends."""
+    """Named folder of written intermediate tables, removed by ``sweep`` or when the process ends.
 
-    def __init__(self, spark: SparkSession, label: str):
+    With ``free``, the shuffle files that a table took are removed once it is written.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, free: bool = False):
         self.spark = spark
+        self.free = free
         self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._paths: dict[int, str] = {}
         _OPEN.append(self)
@@ -55,7 +60,16 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a scan of what was written."""
         path = f"{self.root}/{uuid.uuid4().hex[:10]}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_FREE, None)
+        if self.free:
+            self.spark.conf.set(_FREE, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if self.free and before is None:
+                self.spark.conf.unset(_FREE)
+            elif self.free:
+                self.spark.conf.set(_FREE, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         return out

@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -151,6 +152,7 @@ def profile(text: str, k: int = 2) -> list[str]:
     return out
 
 
+@lru_cache(1 << 16)
 def _bit(item: str) -> int:
     return 1 << (zlib.crc32(item.encode("utf-8", "surrogatepass")) & 63)
 
@@ -301,17 +303,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _name_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of single names ``(name, n)`` as ``(name, n, letters, longer, key)``."""
+    """Keys of single names as ``(name, letters, longer, key)``."""
     for batch in batches:
-        cols: list[list] = [[] for _ in range(5)]
-        for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            letters = bits(name, 1)
-            for longer, keys in enumerate(name_keys(name)):
-                for key in keys:
-                    for col, v in zip(cols, (name, n, letters, bool(longer), key)):
-                        col.append(v)
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["name", "n", "letters", "longer", "key"])
+        names = batch.column(0)
+        both = [[np.fromiter(keys, np.int64, len(keys)) for keys in name_keys(name)] for name in names.to_pylist()]
+        letters = pa.array([bits(name, 1) for name in names.to_pylist()], pa.int64())
+        for longer in (False, True):
+            sets = [keys[longer] for keys in both]
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(keys) for keys in sets]))
+            found = pa.array(np.concatenate([np.empty(0, np.int64), *sets]))
+            yield pa.RecordBatch.from_arrays([names.take(at), letters.take(at), pa.array(np.full(len(at), longer)), found], names=["name", "letters", "longer", "key"])
 
 
 def _near(a: Column, b: Column, limit: Column) -> Column:
@@ -340,18 +341,18 @@ def _unlike(a: Column, b: Column) -> Column:
 
 def _near_names(names: DataFrame) -> DataFrame:
     """Names ``(name, n)`` that agree but for slips, as ``(name, host)``; the host is the one with more rows."""
-    marks = names.mapInArrow(_name_marks, "name string, n long, letters long, longer boolean, key long")
-    cols = ["name", "n", "letters"]
-    short = marks.where("not longer").select("key", *[F.col(c).alias(f"{c}_a") for c in cols])
-    long = marks.where("longer").select("key", *[F.col(c).alias(f"{c}_b") for c in cols])
+    marks = names.select("name").mapInArrow(_name_marks, "name string, letters long, longer boolean, key long")
+    short = marks.where("not longer").select("key", F.col("name").alias("name_a"), F.col("letters").alias("letters_a"))
+    long = marks.where("longer").select("key", F.col("name").alias("name_b"), F.col("letters").alias("letters_b"))
     sizes = F.length("name_a"), F.length("name_b")
     most = F.greatest(F.lit(2), F.floor(sizes[1] * 0.3)).cast("int")
     once = (sizes[0] < sizes[1]) | ((sizes[0] == sizes[1]) & (F.col("name_a") < F.col("name_b")))
     # Each edit changes at most one letter on either side.
     like = (_unlike(F.col("letters_a"), F.col("letters_b")) <= 2 * most - (sizes[1] - sizes[0])) & _near(F.col("name_a"), F.col("name_b"), most)
-    both = short.join(long.hint("merge"), "key").where(once & like).select(F.struct("n_a", "name_a").alias("a"), F.struct("n_b", "name_b").alias("b")).distinct()
-    rare, host = F.least("a", F.struct(F.col("b.n_b").alias("n_a"), F.col("b.name_b").alias("name_a"))), F.greatest("a", F.struct(F.col("b.n_b").alias("n_a"), F.col("b.name_b").alias("name_a")))
-    return both.select(rare["name_a"].alias("name"), host["name_a"].alias("host"))
+    both = short.join(long.hint("merge"), "key").where(like & once).select("name_a", "name_b").distinct()
+    counted = both.join(names.toDF("name_a", "n_a"), "name_a").join(names.toDF("name_b", "n_b"), "name_b")
+    sides = [F.struct(F.col(f"n_{s}").alias("n"), F.col(f"name_{s}").alias("name")) for s in "ab"]
+    return counted.select(F.least(*sides)["name"].alias("name"), F.greatest(*sides)["name"].alias("host"))
 
 
 def _limit(slips: float) -> Column:
@@ -386,6 +387,8 @@ def _alike(slips: float, alike: float) -> Column:
 
 #: Title lengths beyond this share a key where durations are unknown.
 WIDE = 64
+#: Parts in which rows are joined one after the other.
+ROUNDS = 4
 
 CARRIED = ["id", "duration", "title", "size", "letters", "grams"]
 
@@ -416,7 +419,7 @@ def same_recordings(df: DataFrame, ident: str, title: str, artists: str, duratio
     any; repeated ids count once.
     """
     spark = df.sparkSession
-    scratch = Scratch(spark, "recordings")
+    scratch = Scratch(spark, "recordings", free=True)
     rows = df.select(F.col(ident).cast("string").alias("id"), F.col(title).alias("title"), F.col(artists).alias("artists"), F.col(duration).cast("long").alias("duration"))
     rows = rows.where(F.col("id").isNotNull() & F.col("title").rlike(WORDY) & F.col("artists").rlike(WORDY))
     same = ["title", "take", "numbers", "duration", "names"]
@@ -426,8 +429,8 @@ def same_recordings(df: DataFrame, ident: str, title: str, artists: str, duratio
     members = scratch.save(classes.select("id", "rep").distinct())
 
     own = classes.where("id = rep").select(F.explode("names").alias("name"), "take", "numbers", *CARRIED)
-    near = scratch.save(_near_names(own.groupBy("name").agg(F.count("*").alias("n"))))
-    guests = own.join(near, "name").drop("name").withColumnRenamed("host", "name")
+    near = scratch.save(_near_names(scratch.save(own.groupBy("name").agg(F.count("*").alias("n")))))
+    guests = scratch.save(own.join(near, "name").drop("name").withColumnRenamed("host", "name"))
     every = own.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
 
     def meet(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
@@ -441,12 +444,15 @@ def same_recordings(df: DataFrame, ident: str, title: str, artists: str, duratio
 
     slot = F.floor(F.col("duration") / (2 * apart))
     beside = F.when(F.col("duration") - slot * 2 * apart < apart, slot - 1).otherwise(slot + 1)
-    timed = meet(own.where("duration is not null").withColumn("slot", slot), every.where("duration is not null").withColumn("slot", F.explode(F.array(slot, beside))), "slot")
+    timed = own.where("duration is not null").withColumn("slot", slot), every.where("duration is not null").withColumn("slot", F.explode(F.array(slot, beside))), ["slot"]
     reach = F.greatest(F.lit(2), F.floor(F.col("size") * slips)).cast("int")
     sized = F.least(F.col("size"), F.lit(WIDE))
     sizes = F.explode(F.sequence(F.least(F.col("size") - reach, F.lit(WIDE)), F.least(F.col("size") + reach, F.lit(WIDE))))
-    first_open = meet(own.withColumn("wide", sized), every.where("duration is null").withColumn("wide", sizes), "wide")
-    second_open = meet(own.where("duration is null").withColumn("wide", sizes), every.where("guest and duration is not null").withColumn("wide", sized), "wide")
-    likely = scratch.save(timed.unionByName(first_open).unionByName(second_open))
-    found = likely.where(_aligned(slips) | _alike(slips, alike))
+    open_ = own.withColumn("wide", sized), every.where("duration is null").withColumn("wide", sizes), ["wide"]
+    open_hosts = own.where("duration is null").withColumn("wide", sizes), every.where("guest and duration is not null").withColumn("wide", sized), ["wide"]
+    sides = [timed, open_, open_hosts]
+    # Names in rounds, so that only a part of the rows lies on disk for the join at any time.
+    turn = F.pmod(F.xxhash64("name"), F.lit(ROUNDS))
+    rounds = [scratch.save(reduce(DataFrame.unionByName, [meet(left.where(turn == r), right.where(turn == r), *keys) for left, right, keys in sides])) for r in range(ROUNDS)]
+    found = reduce(DataFrame.unionByName, rounds).where(_aligned(slips) | _alike(slips, alike))
     return scratch.save(found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()), members
