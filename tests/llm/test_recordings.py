@@ -112,3 +112,45 @@ def test_unlike_performers_make_no_candidates(spark, monkeypatch):
     rows = [(f"{i:03}", f"The Lantern Parade {w}", n, 200_000) for i, (n, w) in enumerate(zip(names, reversed(names)))]
     assert ("x", "y") in _pairs(spark, [*rows, ("x", "The Lantern Parade Mimosa", "Quite Alone", 200_000), ("y", "The Lanten Parade Mimosa", "Quite Alone", 200_000)])
     assert max(saved) <= 4 * len(rows)
+
+
+def test_near_names_share_a_key():
+    import random
+
+    from undertone.llm.recordings import most_slips, name_keys
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            fresh = [i]
+            for j, y in enumerate(b, 1):
+                fresh.append(min(row[j] + 1, fresh[-1] + 1, row[j - 1] + (x != y)))
+            row = fresh
+        return row[-1]
+
+    rng, near = random.Random(8), 0
+    for _ in range(3000):
+        one = "".join(rng.choice("abcdefgh") for _ in range(rng.choice([5, 7, 10, 13, 14, 18, 24, 32, 33, 40])))
+        two = list(one)
+        for _ in range(rng.randint(0, most_slips(len(one)))):
+            at = rng.randrange(len(two))
+            two[at : at + 1] = rng.choice([[], [rng.choice("abcdefgh")], [two[at], rng.choice("abcdefgh")]])
+        short, long = sorted((one, "".join(two)), key=len)
+        if len(short) >= 5 and distance(short, long) <= most_slips(len(long)):
+            near += 1
+            assert name_keys(short)[0] & name_keys(long)[1], (short, long)
+    assert near > 2000
+
+
+def test_common_titles_are_compared_as_rare_ones(spark):
+    import random
+
+    # Of a title of more than 2048 rows, performers of 20 letters six changes apart.
+    rng = random.Random(6)
+    names = ["".join(rng.choice("abcdefghijklmnoprstuv") for _ in range(20)) for _ in range(24)]
+    pairs = [(f"n{i:02}", n, "".join("q" if k % 3 == 1 and k < 18 else c for k, c in enumerate(n))) for i, n in enumerate(names)]
+    few = [(f"{i}{s}", "Amber Nolitoka", n, 100_000 * k) for k, (i, *both) in enumerate(pairs, 1) for s, n in zip("ab", both)]
+    many = [(f"m{i:04}", "Amber Nolitoka", f"{i:04}".translate(str.maketrans("0123456789", "ghjkpqvwxy")) * 4, 10_000_000 + 10_000 * i) for i in range(2100)]
+    want = {(f"{i}a", f"{i}b") for i, _, _ in pairs}
+    assert _pairs(spark, few) == want
+    assert _pairs(spark, few + many) == want
