@@ -82,3 +82,20 @@ def test_votes_match_brute_force(spark):
     rows = [(f"g{g}", f"r{g}-{i}", rng.choice("abcde"), rng.choice(["x", "y", "z", None, ""]), rng.choice([1, 2, None]), None) for g in range(60) for i in range(rng.randrange(1, 7))]
     got, _ = _run(spark, rows)
     assert got == _brute([r[:5] for r in rows], ["name", "n"])
+
+
+def test_p1_found_runs_no_rounds_without_effect(spark, tmp_path, monkeypatch):
+    from undertone.llm import queries
+
+    def rounds(*_, **__):
+        raise AssertionError("votes cannot change what a total order settles")
+
+    monkeypatch.setattr(queries, "discover_truth", rounds)
+    spark.createDataFrame([(1, ["a", "b", "c", None, "a"]), (2, ["d"]), (None, ["a"])], "cluster_key long, members array<string>").write.parquet(f"{tmp_path}/duplicate_clusters.parquet")
+    spark.createDataFrame([("a", None), ("b", True), ("b", None), ("c", False)], "track_id string, is_cached boolean").write.parquet(f"{tmp_path}/dedup_records.parquet")
+    meta = [("a", "I1", "2001", 5, "u", 300), ("b", " ", None, None, "", 100), ("c", "I3", "", 7, None, 400)]
+    spark.createDataFrame(meta, "spotify_track_id string, isrc string, album_release_date string, popularity int, album_image_url string, duration_ms long").write.parquet(f"{tmp_path}/track_meta.parquet")
+    spark.createDataFrame([], "spotify_track_id string, extraction_source string, extracted_at timestamp").write.parquet(f"{tmp_path}/track_features.parquet")
+    got = {tuple(r) for r in queries.p1_found(spark, str(tmp_path)).collect()}
+    want = {(1, "record", "b"), (1, "isrc", "c"), (1, "album_release_date", "a"), (1, "popularity", "c"), (1, "album_image_url", "a"), (1, "duration_ms", "b"), (2, "record", "d")}
+    assert got == want

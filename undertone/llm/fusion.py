@@ -17,6 +17,20 @@ def has_value(col: Column, dtype: str) -> Column:
     return col.isNotNull()
 
 
+def best_graded(claims: DataFrame, group: str, record: str, fields: list[str], grade: list[Column]) -> DataFrame:
+    """``(group, field_name, record)``: per group and field the record of the best grade that has a value.
+
+    ``grade`` lists ascending sort keys; remaining ties go to the smaller record
+    id, so the order is total and no votes are taken. Null groups and records are
+    dropped; a field that no member fills has no row.
+    """
+    types = dict(claims.dtypes)
+    order = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(grade)], F.col(record).cast("string").alias("id"))
+    filled = F.filter(F.array(*[F.when(has_value(F.col(f), types[f]), F.lit(f)) for f in fields]), lambda f: f.isNotNull())
+    offers = claims.where(F.col(group).isNotNull() & F.col(record).isNotNull()).select(F.col(group).alias("g"), order.alias("grade"), F.explode(filled).alias("field_name"))
+    return offers.groupBy("g", "field_name").agg(F.min("grade").alias("best")).select(F.col("g").alias(group), "field_name", F.col("best.id").alias(record))
+
+
 def discover_truth(
     claims: DataFrame,
     group: str,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from undertone.durable import Scratch
 from undertone.llm.clusters import group_similar
 from undertone.llm.components import hash_to_min
-from undertone.llm.fusion import discover_truth
+from undertone.llm.fusion import best_graded, discover_truth
 from undertone.llm.leaks import MATCH, find_leaks
 from undertone.llm.mixing import mix_sources
 from undertone.llm.neighbours import nearest_vectors
@@ -23,19 +23,13 @@ FIELDS = ["isrc", "album_release_date", "popularity", "album_image_url", "durati
 
 
 def _members(spark: SparkSession, root: str) -> DataFrame:
-    """Members of the reported groups with what ranks them, the source of their record and the fields they offer.
-
-    A source is where the track's newest extraction came from, and whether the record is cached.
-    """
+    """Members of the reported groups with what ranks them and the fields they offer."""
     groups = table(spark, root, "duplicate_clusters").select("cluster_key", F.explode("members").alias("track_id")).where(F.col("track_id").isNotNull()).distinct()
-    taken = table(spark, root, "track_features").where(F.col("spotify_track_id").isNotNull()).groupBy(F.col("spotify_track_id").alias("track_id"))
-    origin = taken.agg(F.max_by("extraction_source", F.struct("extracted_at", "extraction_source")).alias("origin"))
     cached = table(spark, root, "dedup_records").groupBy("track_id").agg(F.coalesce(F.max("is_cached"), F.lit(False)).alias("is_cached"))
     meta = table(spark, root, "track_meta").select(F.col("spotify_track_id").alias("track_id"), *FIELDS)
     return (
-        groups.join(cached, "track_id", "left").join(meta, "track_id", "left").join(origin, "track_id", "left")
+        groups.join(cached, "track_id", "left").join(meta, "track_id", "left")
         .withColumn("is_cached", F.coalesce("is_cached", F.lit(False)))
-        .withColumn("source", F.concat_ws("/", F.coalesce("origin", F.lit("not extracted")), F.when(F.col("is_cached"), "cached").otherwise("listed")))
         .withColumn("record", F.col("track_id"))
     )
 
@@ -44,17 +38,23 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Surviving record and source of each field per reported group.
 
     Grades: cached first, then the longer duration with unknown last, then the
-    smaller id. They are a total order, so grade settles every field and the votes
-    decide none; ``p1_voted`` is where they do.
+    smaller id. They are a total order, so no votes are taken here; ``p1_voted``
+    is where they decide.
     """
-    trust = [F.when(F.col("is_cached"), 0).otherwise(1), F.col("duration_ms").isNull(), -F.col("duration_ms").cast("decimal(20,0)"), F.col("track_id")]
-    truths, _ = discover_truth(_members(spark, root), "cluster_key", "track_id", "source", ["record", *FIELDS], trust)
-    return truths.select("cluster_key", "field_name", "track_id")
+    grade = [F.when(F.col("is_cached"), 0).otherwise(1), F.col("duration_ms").isNull(), -F.col("duration_ms").cast("decimal(20,0)"), F.col("track_id")]
+    return best_graded(_members(spark, root), "cluster_key", "track_id", ["record", *FIELDS], grade)
 
 
 def p1_voted(spark: SparkSession, root: str) -> DataFrame:
-    """Fields chosen by the iterated votes alone, with their support."""
-    truths, _ = discover_truth(_members(spark, root), "cluster_key", "track_id", "source", FIELDS)
+    """Fields chosen by the iterated votes alone, with their support.
+
+    A source is where the track's newest extraction came from, and whether the record is cached.
+    """
+    taken = table(spark, root, "track_features").where(F.col("spotify_track_id").isNotNull()).groupBy(F.col("spotify_track_id").alias("track_id"))
+    origin = taken.agg(F.max_by("extraction_source", F.struct("extracted_at", "extraction_source")).alias("origin"))
+    source = F.concat_ws("/", F.coalesce("origin", F.lit("not extracted")), F.when(F.col("is_cached"), "cached").otherwise("listed"))
+    claims = _members(spark, root).join(origin, "track_id", "left").withColumn("source", source)
+    truths, _ = discover_truth(claims, "cluster_key", "track_id", "source", FIELDS)
     return truths.select("cluster_key", "field_name", "value", F.round("support", 6).alias("support"), "n_values")
 
 
